@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.llm import copies, overlap
+from lexloom.llm import copies, overlap, sentences
 from lexloom.session import table
 
 
@@ -27,7 +27,11 @@ def p3_found(spark, d):
     return overlap.near_pairs(table(spark, d, "development"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_collapsed, p3_found)}
+def p8_found(spark, d):
+    return sentences.sentences(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_collapsed, p3_found, p8_found)}
 
 _WORDS = "regexp_extract_all(lower(translate({0}, '''’', '')), '[\\p{{L}}\\p{{N}}]+')"
 
