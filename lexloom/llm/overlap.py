@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.text import source_name, words
 from lexloom.llm.copies import content_key
+from lexloom.session import cut
 
 #: Buckets of the word counts. The counts only order words by rarity; they are the one thing broadcast, 4 bytes each.
 BUCKETS = 1 << 18
 #: Bags of up to LONG words are joined on pairs of prefix words, longer ones on single prefix words.
 LONG = 64
+#: Bits of the filter of join keys, half a megabyte however many keys there are; the more keys, the less it leaves out.
+FILTER_BITS = 1 << 22
 MIN_WORDS = 12
 _TIE, _KEY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -37,6 +40,15 @@ def word_counts(spark: SparkSession, *bags: DataFrame) -> np.ndarray:
     return np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32)
 
 
+def key_filter(posts: DataFrame) -> np.ndarray:
+    """A bit for each hashed key of ``posts``, packed by 64: what has no bit is no key."""
+    h = posts.select(F.expr(f"key & {FILTER_BITS - 1}").alias("h"))
+    got = h.groupBy(F.expr("cast(shiftright(h, 6) as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS >> 6, np.int64)
+    out[got.column("w").to_numpy()] = got.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
@@ -70,8 +82,9 @@ def _signature(ids: np.ndarray, row: np.ndarray, lens: np.ndarray) -> np.ndarray
 _POSTS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("sig", pa.int64())])
 
 
-def _posts(counts, all_words: bool, pairs: bool):
-    """Postings of bags: (key, id, size, position of the key's last word, signature)."""
+def _posts(counts, pairs: bool, wanted=None):
+    """Postings of bags: (key, id, size, position of the key's last word, signature). With ``wanted``, a key filter, of
+    all words whose keys pass it; otherwise of the necessary prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = counts.value
@@ -87,8 +100,11 @@ def _posts(counts, all_words: bool, pairs: bool):
             def add(key, r, p):
                 keys.append(key), rows.append(r), at.append(p)
 
-            if all_words:
-                add(_mix(ids ^ _KEY), row, pos)
+            if wanted is not None:
+                k = _mix(ids ^ _KEY)
+                bit = k & np.uint64(FILTER_BITS - 1)
+                m = (wanted.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+                add(k[m], row[m], pos[m])
             elif not pairs:
                 m = pos < (lens - need + 1)[row]
                 add(_mix(ids[m] ^ _KEY), row[m], pos[m])
@@ -181,7 +197,7 @@ def near_classes(df: DataFrame, id: str = "case_id", text: str = "prefix") -> tu
     rows = bags(df, id, text, True).where(F.size("bag") >= MIN_WORDS)
     one, members = classes(rows)
     counts = spark.sparkContext.broadcast(word_counts(spark, rows))
-    posts = one.select("rep", "bag").mapInArrow(_posts(counts, False, True), _POST_DDL)
+    posts = one.select("rep", "bag").mapInArrow(_posts(counts, True), _POST_DDL)
     a, b = (posts.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("id", "n", "at", "sig")]) for s in "ab")
     need = F.expr("(4 * greatest(na, nb) + 4) div 5")
     pairs = (
@@ -213,13 +229,14 @@ def shared_lines(cases: DataFrame, lines: DataFrame) -> DataFrame:
     y_rows = bags(lines, "line_id", "text", False).where(F.size("bag") >= 10)  # 80 % of MIN_WORDS
     (x, x_members), (y, y_members) = classes(x_rows), classes(y_rows)
     counts = spark.sparkContext.broadcast(word_counts(spark, x_rows, y_rows))
-    px = x.select("rep", "bag").mapInArrow(_posts(counts, False, False), _POST_DDL).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ata"), F.col("sig").alias("siga"))
-    py = y.select("rep", "bag").mapInArrow(_posts(counts, True, False), _POST_DDL).select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("atb"), F.col("sig").alias("sigb"))
+    px = cut(x.select("rep", "bag").mapInArrow(_posts(counts, False), _POST_DDL).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("siga")), "posts")
+    wanted = spark.sparkContext.broadcast(key_filter(px))
+    py = y.select("rep", "bag").mapInArrow(_posts(counts, False, wanted), _POST_DDL).select("key", F.col("id").alias("b"), F.expr("n - at").alias("rest"), F.col("sig").alias("sigb"))
     need = F.expr("(4 * na + 4) div 5")
     pairs = (
         px.join(py, "key")
-        # the rarest common word is a key: what follows it on either side must hold the rest
-        .where((F.expr("least(na - ata, nb - atb)") >= need) & (_bits("siga", "sigb") <= F.col("na") - need))
+        # the rarest common word is a key: what follows it in the line must hold the rest
+        .where((F.col("rest") >= need) & (_bits("siga", "sigb") <= F.col("na") - need))
         .select("a", "b").distinct()
     )
     with_x = pairs.join(x.select(F.col("rep").alias("a"), F.col("bag").alias("x")), "a")
