@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +54,6 @@ _DICTIONARY = OPENERS | PREDICATES | FINALS | TITLES | NOUNS
 _LONGEST = max(map(len, _DICTIONARY))
 
 
-@lru_cache(maxsize=4096)
 def lattice(piece: str) -> tuple[str, ...]:
     """The cheapest path through the word lattice of ``piece``: 1 for a dictionary word, 1 and a bit per unknown character."""
     n = len(piece)
