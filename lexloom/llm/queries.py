@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.llm import copies, overlap, sentences
+from lexloom.llm import copies, leaks, mixture, overlap, sentences
 from lexloom.session import table
 
 
@@ -27,11 +27,27 @@ def p3_found(spark, d):
     return overlap.near_pairs(table(spark, d, "development"))
 
 
+def p6_found(spark, d):
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "holdout_items"))
+
+
+def p6_report(spark, d):
+    return leaks.leak_report(table(spark, d, "holdout_items"), p6_found(spark, d))
+
+
+def p7_mixture(spark, d):
+    return mixture.draw(table(spark, d, "documents"), table(spark, d, "mixture_targets"))
+
+
+def p7_shares(spark, d):
+    return mixture.shares(table(spark, d, "documents"), table(spark, d, "mixture_targets"))
+
+
 def p8_found(spark, d):
     return sentences.sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_collapsed, p3_found, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_collapsed, p3_found, p6_found, p6_report, p7_mixture, p7_shares, p8_found)}
 
 _WORDS = "regexp_extract_all(lower(translate({0}, '''’', '')), '[\\p{{L}}\\p{{N}}]+')"
 
@@ -76,4 +92,11 @@ select coalesce(split, '') as split, {_SOURCE} as source, count(*) as cases, cou
 from development left join n using (case_id) group by 1, 2
 """
 
-ORACLE = {"p1_found": _P1, "p1_report": _P1_REPORT, "p2_found": _P2, "p2_collapsed": _P2_COLLAPSED, "p3_found": _P3}
+_RUNS = "select distinct {0} as id, array_to_string(ws[k:k + 11], ' ') as run from (select {0}, ws, unnest(range(1, len(ws) - 10)) as k from (select {0}, {1} as ws from {2} where text is not null) where len(ws) >= 12)"
+_P6 = f"""
+with d as ({_RUNS.format("doc_id", _WORDS.format("text"), "documents")}), i as ({_RUNS.format("item_id", _WORDS.format("text"), "holdout_items")})
+select distinct d.id as doc_id, i.id as item_id from d join i using (run)
+"""
+_P6_REPORT = f"with n as (select item_id, count(*) as n from ({_P6}) group by item_id) select item_id, reserve_role, coalesce(n, 0) as documents from holdout_items left join n using (item_id)"
+
+ORACLE = {"p1_found": _P1, "p1_report": _P1_REPORT, "p2_found": _P2, "p2_collapsed": _P2_COLLAPSED, "p3_found": _P3, "p6_found": _P6, "p6_report": _P6_REPORT}
