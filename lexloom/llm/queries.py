@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.llm import copies, leaks, mixture, overlap, sentences
+from lexloom.llm import abuse, copies, encoding, leaks, mixture, overlap, sentences
 from lexloom.session import table
 
 
@@ -27,6 +27,26 @@ def p3_found(spark, d):
     return overlap.near_pairs(table(spark, d, "development"))
 
 
+def p4_found(spark, d):
+    return encoding.garbled(table(spark, d, "development"))
+
+
+def p4_restored(spark, d):
+    return encoding.restored(table(spark, d, "development"))
+
+
+def p5_found(spark, d):
+    return abuse.abusive(table(spark, d, "development"), table(spark, d, "toxicity_labels"))
+
+
+def p5_scores(spark, d):
+    return abuse.scores(table(spark, d, "development"), table(spark, d, "toxicity_labels"))
+
+
+def p5_rates(spark, d):
+    return abuse.rates(table(spark, d, "development"), table(spark, d, "toxicity_labels"))
+
+
 def p6_found(spark, d):
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "holdout_items"))
 
@@ -47,7 +67,7 @@ def p8_found(spark, d):
     return sentences.sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_collapsed, p3_found, p6_found, p6_report, p7_mixture, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_collapsed, p3_found, p4_found, p4_restored, p5_found, p5_scores, p5_rates, p6_found, p6_report, p7_mixture, p7_shares, p8_found)}
 
 _WORDS = "regexp_extract_all(lower(translate({0}, '''’', '')), '[\\p{{L}}\\p{{N}}]+')"
 
