@@ -82,3 +82,7 @@ def tokens_unicode(text: Column) -> Column:
 
 def normalize_model(text: Column) -> Column:
     return F.array_join(tokens_model(text), " ")
+
+
+def tokens_letters(text: Column) -> Column:
+    return F.filter(F.split(normalize_letters(text), " "), lambda w: w != "")

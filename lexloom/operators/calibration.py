@@ -58,7 +58,7 @@ def fit_sigmoid(rows: DataFrame, raw: str, y: str, steps: int = 200) -> dict:
             objective = s[0] + beta[1] ** 2 / 2
             gradient = np.array([s[1], s[2] + beta[1]])
             if np.abs(gradient).max() < 1e-7:
-                return {"intercept": beta[0], "slope": beta[1], "iterations": step, "objective": objective, "cases": n, "positives": int(positives)}
+                return {"intercept": float(beta[0]), "slope": float(beta[1]), "iterations": step, "objective": float(objective), "cases": n, "positives": int(positives)}
             move = np.linalg.solve(np.array([[s[3], s[4]], [s[4], s[5] + 1]]), gradient)
             scale = 1.0
             while True:

@@ -78,7 +78,9 @@ def build(df: DataFrame, tokens: Column, method: str = "kneser_ney", order: int
         levels.append(level.select(F.lit(n).alias("n"), "*"))
         contexts.append(stats.select(F.lit(n).alias("n"), "*"))
         lower = level
-    out = Model(order, base, _union(levels), _union(contexts), None, starts, k)
+    spark = df.sparkSession
+    empty = [spark.createDataFrame([], "n int, context string, word string, weight double, p double")], [spark.createDataFrame([], "n int, context string, total bigint, types bigint, backoff double")]
+    out = Model(order, base, _union(levels or empty[0]), _union(contexts or empty[1]), None, starts, k)
     out.best = best_words(out, k)
     return out
 
@@ -116,6 +118,8 @@ def contexts_of(cases: DataFrame, tokens: Column, order: int, starts: bool) -> D
     """Adds ``ctx``: an array of (n, context) for n from 2 to ``order``, the last n - 1 words (or line starts) of the prefix."""
     t = F.concat(F.array_repeat(F.lit(START), order - 1), tokens) if starts else tokens
     rows = cases.withColumn("_t", t)
+    if order < 2:
+        return cases.withColumn("ctx", F.expr("cast(array() as array<struct<n:int,context:string>>)"))
     parts = [F.when(F.size("_t") >= n - 1, F.struct(F.lit(n).alias("n"), F.array_join(F.slice("_t", -(n - 1), n - 1), " ").alias("context"))) for n in range(2, order + 1)]
     return rows.withColumn("ctx", F.array_compact(F.array(*parts))).drop("_t")
 

@@ -54,7 +54,7 @@ def sparse(model: Compact, cases: DataFrame, id: str, tokens: Column, k: int, mo
     if more is not None:
         extra = extra.unionAll(more.select(id, "word"))
     candidates = hits.select(id, "word").unionAll(extra).distinct().join(model.base, "word").join(hits, [id, "word"], "left").join(backs, id, "left")
-    weight = "coalesce(filter(ws, w -> w.n = s.n)[0].weight, 0D)"
+    weight = "coalesce(get(filter(ws, w -> w.n = s.n), 0).weight, 0D)"
     p = F.expr(f"if(backs is null, p, aggregate(backs, p, (a, s) -> a * s.backoff + {weight}))")
     return candidates.select(id, "word", p.alias("p"), F.expr("if(backs is null, 1, element_at(backs, -1).n)").alias("n"))
 
