@@ -156,7 +156,7 @@ class Model:
         memo = {} if memo is None else memo
         rows = self.encode(texts, memo)
         out = np.zeros(len(rows), np.float32)
-        short = [i for i, r in enumerate(rows) if len(r[0]) <= 512]
+        short = [i for i, r in enumerate(rows) if 0 < len(r[0]) <= 512]  # without words, 0
         for i in (i for i, r in enumerate(rows) if len(r[0]) > 512):
             w, f = rows[i]
             parts = [(w[s : s + 512], f[s : s + 512]) for s in range(0, len(w), 448)]
@@ -180,6 +180,10 @@ def train(rows, y: np.ndarray, weight: np.ndarray, seen: np.ndarray, seed: int =
     """Adam on weighted log-loss, dropout before the output, embeddings updated where they were used."""
     rng = np.random.default_rng(seed)
     model = _fresh(rng, seen)
+    # unknown words alone are no evidence: some texts are blanked and count as harmless
+    blank = [([1] * len(rows[i][0]), [0] * len(rows[i][1])) for i in range(0, len(rows), 25)]
+    rows = rows + blank
+    y, weight = np.concatenate([y, np.zeros(len(blank), np.float32)]), np.concatenate([weight, np.ones(len(blank), np.float32)])
     params = model.parameters()
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
@@ -297,20 +301,20 @@ def _scored(weights):
                 p = model.score(texts, memo)
                 langs = [language(t) for t in texts]
                 limit = np.array([model.thresholds.get(k, model.thresholds[""]) for k in langs], np.float32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p.astype(np.float64)), pa.array(langs), pa.array(p >= limit)], names=["case_id", "score", "language", "abusive"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(p.astype(np.float64)), pa.array(langs), pa.array(p >= limit)], names=["case_id", "source", "score", "language", "abusive"])
 
     return run
 
 
 def scores(cases: DataFrame, labels: DataFrame) -> DataFrame:
-    """(case_id, score, language, abusive) of every case; null and empty texts score as texts without words.
+    """(case_id, source, score, language, abusive) of every case; null texts and texts without words score 0.
 
     The model is fitted once, on the driver, on the bounded labelled sample, and sent to the executors (some 4 MB)."""
     sample = labelled(cases, labels).toPandas()
     model = fit(sample["text"].tolist(), sample["label"].to_numpy(np.float64))
     weights = cases.sparkSession.sparkContext.broadcast(model)
-    rows = cases.where("case_id is not null").select(F.col("case_id").cast("bigint").alias("case_id"), "prefix")
-    return rows.mapInArrow(_scored(weights), "case_id bigint, score double, language string, abusive boolean")
+    rows = cases.where("case_id is not null").select(F.col("case_id").cast("bigint").alias("case_id"), "prefix", F.coalesce(source_name(F.col("source")), F.lit("")).alias("source"))
+    return rows.mapInArrow(_scored(weights), "case_id bigint, source string, score double, language string, abusive boolean")
 
 
 def abusive(cases: DataFrame, labels: DataFrame) -> DataFrame:
@@ -319,5 +323,5 @@ def abusive(cases: DataFrame, labels: DataFrame) -> DataFrame:
 
 def rates(cases: DataFrame, labels: DataFrame) -> DataFrame:
     """(source, cases, abusive, rate, mean_score) of each source, spellings folded; null sources are ''."""
-    s = scores(cases, labels).join(cases.select("case_id", F.coalesce(source_name(F.col("source")), F.lit("")).alias("source")), "case_id")
+    s = scores(cases, labels)
     return s.groupBy("source").agg(F.count("*").alias("cases"), F.count_if("abusive").alias("abusive"), F.round(F.avg(F.col("abusive").cast("double")), 6).alias("rate"), F.round(F.avg("score"), 6).alias("mean_score"))

@@ -150,7 +150,7 @@ def _candidates(learned: list[tuple[str, str]], alphabet: set[str]):
                         break
                     last, got = got, once(got)
                 own = {c for c in t if c > "\x7f"}
-                bare = len(t) >= 4 and not any("a" <= c <= "z" or "A" <= c <= "Z" for c in t)
+                bare = sum(map(str.isalpha, t)) >= 4 and not any("a" <= c <= "z" or "A" <= c <= "Z" for c in t)
                 if got != t or broken:
                     rows.append((t, got, True, ""))
                     if not bare:

@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.text import words
 from lexloom.llm.overlap import FILTER_BITS, key_filter
-from lexloom.session import cut
+from lexloom.session import cut, small
 
 #: Words of a shingle, and consecutive words that make a leak.
 SHINGLE = 5
 RUN = 12
-#: Rows of necessary item shingles up to which they are broadcast (24 bytes and RUN words each); above, the join shuffles.
-BROADCAST_ROWS = 200_000
 _REACH = RUN - 1
 _WIDTH = 2 * _REACH + SHINGLE
 _DDL = "h bigint, id bigint, at int, near array<bigint>"
@@ -102,8 +100,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     # a shingle that no document holds makes its windows impossible
     chosen = windows.where("full is not null and rarest.n > 0").select("id", F.col("rarest.at").alias("at")).distinct()
     necessary = cut(item_hits.join(chosen, ["id", "at"]).select("h", F.col("id").alias("item_id"), F.col("near").alias("item_near")), "necessary")
-    side = F.broadcast(necessary) if necessary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else necessary
-    candidates = doc_hits.join(side, "h").select(F.col("id").alias("doc_id"), "item_id", "near", "item_near")
+    candidates = doc_hits.join(small(necessary), "h").select(F.col("id").alias("doc_id"), "item_id", "near", "item_near")
     return candidates.mapInArrow(_verified, "doc_id bigint, item_id bigint").distinct()
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.text import source_name
 from lexloom.operators.ordered import running_sums
-from lexloom.session import cut
+from lexloom.session import cut, small
 
 #: A byte-level BPE vocabulary as ranks, and its splitting pattern.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -69,11 +69,11 @@ def draw(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     the budget. Keys depend on (seed, doc_id) only. Documents of no token count as used in each epoch.
     """
     sized = cut(token_counts(docs, path, pattern), "tokens")
-    plan = budgets(sized, targets, total)
+    plan = cut(budgets(sized, targets, total), "budgets")
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
-    keyed = sized.join(F.broadcast(plan.select("source", "epochs", "rest")), "source").withColumn("key", -F.log(u) / F.greatest("quality", F.lit(1e-3)))
+    keyed = sized.join(small(plan.select("source", "epochs", "rest")), "source").withColumn("key", -F.log(u) / F.greatest("quality", F.lit(1e-3)))
     sums = running_sums(keyed, "source", ["key"], "doc_id", "tokens")
-    picked = sums.join(F.broadcast(plan.select(F.col("source").alias("grp"), "epochs", "rest")), "grp")
+    picked = sums.join(small(plan.select(F.col("source").alias("grp"), "epochs", "rest")), "grp")
     uses = F.expr("cast(epochs + if(before < rest and upto - rest <= rest - before, 1, 0) as int)")
     return picked.select(F.col("id").alias("doc_id"), F.col("grp").alias("source"), F.col("size").alias("tokens"), uses.alias("uses")).where("uses > 0")
 

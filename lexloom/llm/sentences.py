@@ -222,7 +222,7 @@ def _ends(text: str, a: int, b: int) -> list[int]:
                     ends.append(end)
                     start = end
                 continue
-            if not rest[0].isspace() and not _CJK.match(rest):
+            if not rest[0].isspace() and not _CJK.match(rest) and rest[0] not in "“「『《（":
                 continue
             lead = text[start:i].rstrip()
             t = rest.lstrip()
