@@ -155,7 +155,7 @@ def _candidates(learned: list[tuple[str, str]], alphabet: set[str]):
                     rows.append((t, got, True, ""))
                     if not bare:
                         continue
-                if own <= plain:
+                if own <= plain and not any(c.isalnum() for c in t):
                     continue
                 for k in every if bare else single:
                     chars, table = maps[k]
@@ -201,7 +201,7 @@ def garbled_tokens(df: DataFrame, id: str = "case_id", text: str = "prefix") ->
     learned = [(r.written, r.read) for r in found]
     if ("utf-8", "cp1252") not in learned:
         learned.append(("utf-8", "cp1252"))
-    alphabet = {r.c for r in known.collect()} | {chr(c) for c in (*range(0xA0, 0x100), *range(0x2010, 0x2027), 0x20AC, 0x2122)}
+    alphabet = {r.c for r in known.collect()} | {chr(c) for c in (*range(0xA0, 0x100), 0x2009, 0x2013, 0x2014, *range(0x2018, 0x201F), 0x2020, 0x2021, 0x2022, 0x2026, 0x2030, 0x2039, 0x203A, 0x20AC, 0x2122)}
 
     proposed = cut(counted.select("token").mapInArrow(_candidates(learned, alphabet), "token string, restored string, sure boolean, how string"), "proposed")
     sure = proposed.where("sure").select("token", "restored")

@@ -226,7 +226,8 @@ def _ends(text: str, a: int, b: int) -> list[int]:
                 continue
             lead = text[start:i].rstrip()
             t = rest.lstrip()
-            introduced = lead.endswith((":", "："))
+            # a speaker's label introduces no quotation
+            introduced = lead.endswith((":", "：")) and len(lead.split()) > 1
             if _attributed(rest) and not (introduced and t[0].isupper()):
                 continue
             if not opens and lead and lead[-1] not in ":,：，—–-" and not _CJK.match(t) and inner[-1] not in ".":
