@@ -35,8 +35,8 @@ def excluded(df: DataFrame, reserved: DataFrame, key: Column) -> DataFrame:
 def score_checks(scores: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(rows, nulls, not_finite, above_one, repeated): what a table of probabilities must not have."""
     v = F.col(value)
-    per = scores.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(v.isNull()).alias("a"), F.count_if(F.isnan(v) | (F.abs(v) == float("inf"))).alias("b"), F.count_if((v > 1 + 1e-6) & ~F.isnan(v)).alias("c"))
-    return per.agg(F.sum("n").alias("rows"), F.sum("a").alias("nulls"), F.sum("b").alias("not_finite"), F.sum("c").alias("above_one"), F.count_if(F.col("n") > 1).alias("repeated"))
+    per = scores.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_if(v.isNull()).alias("_nulls"), F.count_if(F.isnan(v) | (F.abs(v) == float("inf"))).alias("_odd"), F.count_if((v > 1 + 1e-6) & ~F.isnan(v)).alias("_above"))
+    return per.agg(F.sum("_n").alias("rows"), F.sum("_nulls").alias("nulls"), F.sum("_odd").alias("not_finite"), F.sum("_above").alias("above_one"), F.count_if(F.col("_n") > 1).alias("repeated"))
 
 
 def rank_check(cases: DataFrame, id: str, rank: str, words: str, actual: str) -> DataFrame:

@@ -20,20 +20,27 @@ def grams(df: DataFrame, tokens: Column, n: int) -> DataFrame:
 
 
 def all_grams(df: DataFrame, tokens: Column, order: int) -> list[DataFrame]:
-    """Orders 1 to ``order`` without line starts. The text is exploded once, at the highest order, with the short heads
-    of each line; lower orders are sums of its table's tails."""
+    """Orders 1 to ``order`` without line starts."""
+    return from_padded(padded(df, tokens, order), order, False)
+
+
+def start_grams(df: DataFrame, tokens: Column, order: int) -> list[DataFrame]:
+    """Orders 1 to ``order`` with line starts in the contexts: the raw counts."""
+    return from_padded(padded(df, tokens, order), order, True)
+
+
+def from_padded(top: DataFrame, order: int, starts: bool) -> list[DataFrame]:
+    """The grams of all orders: the text is exploded once, at the highest order; lower orders are sums over its table's tails."""
     cols = [f"w{i}" for i in range(1, order + 1)]
-    top = _padded(df, tokens, order)
     out = []
     for n in range(1, order + 1):
         own = cols[order - n :]
         rows = top if n == order else top.groupBy(*own).agg(F.sum("cnt").alias("cnt"))
-        rows = rows.where(F.col(own[0]) != START)
-        out.append(_as_pairs(rows, own))
+        out.append(_as_pairs(rows if starts else rows.where(F.col(own[0]) != START), own))
     return out
 
 
-def _padded(df: DataFrame, tokens: Column, order: int) -> DataFrame:
+def padded(df: DataFrame, tokens: Column, order: int) -> DataFrame:
     """(w1..wn, cnt) with n - 1 line starts before each line: every word ends exactly one gram. Scalar columns, so that
     counting stays in generated code."""
     rows = df.select(tokens.alias("t")).where(F.size("t") >= 1)
@@ -50,13 +57,6 @@ def _as_pairs(rows: DataFrame, cols: list[str]) -> DataFrame:
     return rows.select(context.alias("context"), F.col(cols[-1]).alias("word"), F.col("cnt").cast("bigint").alias("cnt"))
 
 
-def start_grams(df: DataFrame, tokens: Column, order: int) -> list[DataFrame]:
-    """Orders 1 to ``order`` with line starts in the contexts: the raw counts."""
-    cols = [f"w{i}" for i in range(1, order + 1)]
-    top = _padded(df, tokens, order)
-    return [_as_pairs(top if n == order else top.groupBy(*cols[order - n :]).agg(F.sum("cnt").alias("cnt")), cols[order - n :]) for n in range(1, order + 1)]
-
-
 def continuation_counts(longer: DataFrame) -> DataFrame:
     """(context, word, cnt): in how many distinct left contexts, line start included, a gram occurs. ``longer`` holds
     the distinct grams one order up, so no row is read twice."""

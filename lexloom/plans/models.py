@@ -9,11 +9,12 @@ candidate sets: its longest known context already holds the answer. Scoring a ba
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.operators.ngrams import START, all_grams, continuation_counts, estimated_discount, start_grams
+from lexloom.operators.ngrams import START, continuation_counts, estimated_discount, from_padded, padded
 from lexloom.session import cut
 
 UNKNOWN = "<unk>"
@@ -27,16 +28,19 @@ def _tail() -> Column:
 @dataclass
 class Model:
     """``base``: (word, p) with UNKNOWN; ``grams``: (n, context, word, weight, p); ``contexts``: (n, context, total, types,
-    backoff) with backoff 1 where nothing is kept; ``best``: (n, context, top), top an array of (p, word) best first."""
+    backoff) with backoff 1 where nothing is kept; ``best``: (n, context, top), top an array of (-p, word) best first."""
 
     order: int
     base: DataFrame
     grams: DataFrame
     contexts: DataFrame
-    best: DataFrame
     starts: bool
     k: int
 
+    @cached_property
+    def best(self) -> DataFrame:
+        return best_words(self, self.k)
+
 
 def base_probabilities(counts: DataFrame) -> DataFrame:
     """(word, p) of unigrams and UNKNOWN: (c + .1) / sum."""
@@ -55,13 +59,13 @@ def build(df: DataFrame, tokens: Column, method: str = "kneser_ney", order: int
     if method not in ("kneser_ney", "absolute", "interpolated", "witten_bell"):
         raise ValueError(f"unknown method: {method}")
     starts = method in ("kneser_ney", "absolute")
-    raw = [cut(g, f"grams{n}") for n, g in enumerate(start_grams(df, tokens, order) if starts else all_grams(df, tokens, order), 1)]
+    raw = from_padded(cut(padded(df, tokens, order), "grams"), order, starts)
     counts = [continuation_counts(raw[n + 1]) if method == "kneser_ney" and n + 1 < order else raw[n] for n in range(order)]
     base = cut(base_probabilities(counts[0]), "base")
     levels, contexts = [], []
     lower = base.select(F.lit("").alias("context"), "word", "p")
     for n in range(2, order + 1):
-        own = cut(counts[n - 1], f"own{n}") if method == "kneser_ney" and n < order else counts[n - 1]
+        own = counts[n - 1]
         d = float(estimated_discount(own).first().discount) if discount == "estimated" else float(discount)
         kept = F.col("cnt") >= least
         stats = own.groupBy("context").agg(F.sum("cnt").alias("all"), F.sum(F.when(kept, F.col("cnt"))).alias("mass"), F.count_if(kept).alias("types"))
@@ -80,9 +84,7 @@ def build(df: DataFrame, tokens: Column, method: str = "kneser_ney", order: int
         lower = level
     spark = df.sparkSession
     empty = [spark.createDataFrame([], "n int, context string, word string, weight double, p double")], [spark.createDataFrame([], "n int, context string, total bigint, types bigint, backoff double")]
-    out = Model(order, base, _union(levels or empty[0]), _union(contexts or empty[1]), None, starts, k)
-    out.best = best_words(out, k)
-    return out
+    return Model(order, base, _union(levels or empty[0]), _union(contexts or empty[1]), starts, k)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -197,7 +199,7 @@ class BackOff:
 
 def build_backoff(df: DataFrame, tokens: Column, order: int = 3, least: int = 1, k: int = 3) -> BackOff:
     """Relative frequencies of the longest known context, filled up from shorter ones."""
-    raw = all_grams(df, tokens, order)
+    raw = from_padded(cut(padded(df, tokens, order), "grams"), order, False)
     kept = [cut(g if n == 1 else g.where(F.col("cnt") >= least), f"plain{n}") for n, g in enumerate(raw, 1)]
     words = kept[0].count()
     grams, contexts, best, lower = [], [], [], None

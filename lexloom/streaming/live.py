@@ -49,7 +49,7 @@ def score_stream(model: Model, stream: DataFrame, id: str, tokens: Column) -> Da
     found = F.lit(None)
     for n in range(model.order, 0, -1):
         side = model.best.where(F.col("n") == n).select(F.col("context").alias(f"c{n}"), F.col("top").alias(f"top{n}"))
-        key = F.lit("") if n == 1 else F.filter("ctx", lambda x, n=n: x["n"] == n)[0]["context"]
+        key = F.lit("") if n == 1 else F.expr(f"get(filter(ctx, x -> x.n = {n}), 0).context")
         rows = rows.withColumn(f"k{n}", key).join(side, F.col(f"k{n}") == F.col(f"c{n}"), "left")
     order = range(model.order, 0, -1)
     found = F.coalesce(*[F.col(f"top{n}") for n in order])
