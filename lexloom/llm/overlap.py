@@ -17,10 +17,13 @@ from lexloom.session import cut
 BUCKETS = 1 << 18
 #: Bags of up to LONG words are joined on pairs of prefix words, longer ones on single prefix words.
 LONG = 64
+#: Words counted more often than this are joined in pairs only, so that a key's postings do not grow with the table; lines
+#: with more than MANY such words would give too many pairs and keep single keys, in a key space of their own.
+FREQUENT, MANY = 4096, 256
 #: Bits of the filter of join keys, half a megabyte however many keys there are; the more keys, the less it leaves out.
 FILTER_BITS = 1 << 22
 MIN_WORDS = 12
-_TIE, _KEY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_TIE, _KEY, _MANY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def word_ids(text: Column) -> Column:
@@ -54,20 +57,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return _mix(x * np.uint64(3) + _mix(y))
+
+
+def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = keys & np.uint64(FILTER_BITS - 1)
+    return (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
 def _ordered(bags: pa.ListArray, counts: np.ndarray):
     """Flat word ids, rarest first in each bag; a repeated word gets an id of its own for each repetition, so that
-    bags become sets. Also the row and the position of each."""
+    bags become sets. Also the row and the position of each, the bags' sizes, and which words are frequent."""
     lens = np.diff(bags.offsets.to_numpy())
     flat = bags.flatten().to_numpy()
     row = np.repeat(np.arange(len(lens)), lens)
-    order = np.lexsort((flat, counts[flat & (BUCKETS - 1)], row))
-    flat = flat[order].view(np.uint64)
+    often = counts[flat & (BUCKETS - 1)]
+    order = np.lexsort((flat, often, row))
+    flat, often = flat[order].view(np.uint64), often[order]
     at = np.arange(len(flat))
     fresh = np.ones(len(flat), bool)
     fresh[1:] = (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])
     nth = (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(np.uint64)
     start = np.cumsum(lens) - lens
-    return flat + nth * _TIE, row, at - start[row], lens
+    return flat + nth * _TIE, row, at - start[row], lens, often > FREQUENT
 
 
 def _signature(ids: np.ndarray, row: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -92,7 +105,7 @@ def _posts(counts, pairs: bool, wanted=None):
             if not b.num_rows:
                 continue
             doc = b.column(0).to_numpy()
-            ids, row, pos, lens = _ordered(b.column(1), freq)
+            ids, row, pos, lens, common = _ordered(b.column(1), freq)
             sig = _signature(ids, row, lens)
             need = (4 * lens + 4) // 5
             keys, rows, at = [], [], []
@@ -100,23 +113,34 @@ def _posts(counts, pairs: bool, wanted=None):
             def add(key, r, p):
                 keys.append(key), rows.append(r), at.append(p)
 
+            def twos(i, limit):
+                """Pairs of each row's words i with those behind them, up to the position ``limit`` of the row."""
+                for lag in range(1, int(limit.max(initial=0))):
+                    i = i[pos[i] + lag < limit[row[i]]]
+                    if not len(i):
+                        return
+                    yield _pair(ids[i], ids[i + lag]), row[i], pos[i] + lag
+
             if wanted is not None:
-                k = _mix(ids ^ _KEY)
-                bit = k & np.uint64(FILTER_BITS - 1)
-                m = (wanted.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-                add(k[m], row[m], pos[m])
+                many = np.bincount(row[common], minlength=len(lens)) > MANY
+                found = [(_mix(ids ^ np.where(common, _MANY, _KEY)), row, pos, ~common | many[row])]
+                found += [(k, r, p - 1, None) for k, r, p in twos(np.flatnonzero(common & ~many[row]), lens)]
+                for k, r, p, ok in found:
+                    m = _has(wanted.value, k)
+                    m = m if ok is None else m & ok
+                    add(k[m], r[m], p[m])
             elif not pairs:
                 m = pos < (lens - need + 1)[row]
-                add(_mix(ids[m] ^ _KEY), row[m], pos[m])
+                add(_mix(ids[m] ^ np.where(common[m], _MANY, _KEY)), row[m], pos[m])
+                for k, r, p in twos(np.flatnonzero(common), lens - need + 2):
+                    add(k, r, p - 1)
             else:
                 m = (pos < (lens - need + 1)[row]) & (lens > LONG)[row]
                 if m.any():
                     add(_mix(ids[m] ^ _KEY), row[m], pos[m])
                 last = np.where(lens * 4 <= LONG * 5, lens - need + 2, 0)  # 1.25 LONG: partners of both kinds meet
-                short = last[row]
-                for lag in range(1, int(last.max(initial=0))):
-                    i = np.flatnonzero(pos + lag < short)
-                    add(_mix(ids[i] * np.uint64(3) + _mix(ids[i + lag])), row[i], pos[i] + lag)
+                for k, r, p in twos(np.arange(len(ids)), last):
+                    add(k, r, p)
             r = np.concatenate(rows) if rows else np.zeros(0, np.int64)
             k = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             p = np.concatenate(at) if at else np.zeros(0, np.int64)
@@ -137,8 +161,8 @@ def _checked(shares):
             n = b.num_rows
             if not n:
                 continue
-            x, rx, _, nx = _ordered(b.column(2), none)
-            y, ry, _, ny = _ordered(b.column(3), none)
+            x, rx, _, nx, _ = _ordered(b.column(2), none)
+            y, ry, _, ny, _ = _ordered(b.column(3), none)
             row, ids = np.concatenate([rx, ry]), np.concatenate([x, y])
             order = np.lexsort((ids, row))
             row, ids = row[order], ids[order]
@@ -219,7 +243,7 @@ def shared_lines(cases: DataFrame, lines: DataFrame) -> DataFrame:
     are in the line. Null hashes, ids and texts equal nothing; repeated rows give one pair.
 
     Equal hashes of canonical records (the bag of words) are first folded into classes; the classes are joined on the
-    necessary rare words of the case, bounded by signatures, and checked once.
+    necessary rare words of the case, or on pairs of them where they are FREQUENT, bounded by signatures, and checked once.
     """
     spark = cases.sparkSession
     hashed = cases.where("line_hash is not null and case_id is not null").select("case_id", F.lower("line_hash").alias("h"))
@@ -235,7 +259,7 @@ def shared_lines(cases: DataFrame, lines: DataFrame) -> DataFrame:
     need = F.expr("(4 * na + 4) div 5")
     pairs = (
         px.join(py, "key")
-        # the rarest common word is a key: what follows it in the line must hold the rest
+        # the rarest common word is a key, or the two rarest if both are frequent: what follows in the line must hold the rest
         .where((F.col("rest") >= need) & (_bits("siga", "sigb") <= F.col("na") - need))
         .select("a", "b").distinct()
     )

@@ -62,7 +62,10 @@ def test_near_pairs_against_brute_force(spark, texts):
     assert got == want and len(want) > 50
 
 
-def test_shared_lines_against_brute_force(spark, texts):
+@pytest.mark.parametrize(("frequent", "many"), [(4096, 256), (5, 256), (5, 6), (-1, 256)])
+def test_shared_lines_against_brute_force(spark, texts, monkeypatch, frequent, many):
+    monkeypatch.setattr(overlap, "FREQUENT", frequent)
+    monkeypatch.setattr(overlap, "MANY", many)
     rng = random.Random(6)
     lines = [(i, " ".join(words(t or "") + [f"tail{rng.randrange(99)}" for _ in range(rng.randrange(30))])) for i, t in texts[::2] if i is not None] + [(5000, None), (5001, "")]
     hashes = {1: "ABC", 2: "abc", 3: None, 900: "ff"}
