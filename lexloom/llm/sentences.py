@@ -39,7 +39,7 @@ _WIDE = frozenset("。！？｡．")
 _CLOSES = {"“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‚": "‘’", "‹": "›", '"': '"', "'": "'", "(": ")", "[": "]", "（": "）", "【": "】", "「": "」", "『": "』", "《": "》"}
 _BRACKETS = frozenset("([（【")
 _ITEM = re.compile(r"\s*(?:[-*•‣▪·–—+]\s+|\(?\d{1,3}[.)]\s+|\(?[a-z]\)\s+)")
-_MESSAGE = re.compile(r"@\w|(?:rt|omg|via|who|can['’]t)\b", re.I)
+_MESSAGE = re.compile(r"@\w|(?i:rt|omg|via|who|can['’]t)\b|[A-Z]\w{0,15}: ")
 _SPACELESS = re.compile(r"[฀-๿຀-໿က-႟ក-៿]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 _LINE = re.compile(r"[^\n\r  \x0b\x0c]+")
@@ -104,7 +104,7 @@ def _blocks(text: str) -> list[tuple[int, int]]:
             if text[a:b].rstrip()[-1] not in ".!?…:”»\")']।؟":
                 inside += 1
                 lower += nxt[0].islower() and not _MESSAGE.match(nxt)
-    if forced >= 0.8 * plain and forced and messages <= 0.3 * plain and (lower or inside >= 3 and inside >= 0.5 * forced):
+    if forced >= 0.8 * plain and forced and messages <= 0.3 * plain and (lower or inside >= 5 and inside >= 0.5 * forced):
         out = [list(lines[0])]
         for k in range(1, len(lines)):
             if k - 1 in wraps:
