@@ -19,9 +19,9 @@ BUCKETS = 1 << 18
 LONG = 64
 #: Words counted more often than this are joined in pairs only, so that a key's postings do not grow with the table; lines
 #: with more than MANY such words would give too many pairs and keep single keys, in a key space of their own.
-FREQUENT, MANY = 4096, 256
-#: Bits of the filter of join keys, half a megabyte however many keys there are; the more keys, the less it leaves out.
-FILTER_BITS = 1 << 22
+FREQUENT, MANY = 1 << 16, 256
+#: Bits of the filter of join keys, two megabytes however many keys there are; the more keys, the less it leaves out.
+FILTER_BITS = 1 << 24
 MIN_WORDS = 12
 _TIE, _KEY, _MANY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 

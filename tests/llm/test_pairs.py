@@ -62,7 +62,7 @@ def test_near_pairs_against_brute_force(spark, texts):
     assert got == want and len(want) > 50
 
 
-@pytest.mark.parametrize(("frequent", "many"), [(4096, 256), (5, 256), (5, 6), (-1, 256)])
+@pytest.mark.parametrize(("frequent", "many"), [(1 << 16, 256), (5, 256), (5, 6), (-1, 256)])
 def test_shared_lines_against_brute_force(spark, texts, monkeypatch, frequent, many):
     monkeypatch.setattr(overlap, "FREQUENT", frequent)
     monkeypatch.setattr(overlap, "MANY", many)
