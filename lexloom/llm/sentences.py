@@ -32,6 +32,8 @@ _BEFORE_DAY = frozenset("am vom zum den der dem im bis ab seit".split())
 
 _EMOJI = "[\U0001f000-\U0001faff☀-➿⭐⭕️‍\U0001f3fb-\U0001f3ff]"
 _SMILE = r"(?:[:;=8][-^o]?[)(\]\[DdPp3]+|<3|\^\^)(?!\w)"
+#: Characters around a quotation that are looked at: names and a verb of speech fit in.
+_NEAR = 200
 #: What may follow a final mark and belongs to it.
 _TAIL = re.compile(rf"(?:[\s]*(?:{_EMOJI}|{_SMILE}))+")
 _MARK = re.compile(r"[.!?…。！？؟।॥｡．‼⁇⁈⁉۔]+|[“”„«»‘’‚‹›\"'()\[\]（）【】「」『』《》]")
@@ -208,7 +210,7 @@ def _ends(text: str, a: int, b: int) -> list[int]:
             skip = j + 1
             if not inner or inner[-1] not in ".!?…。！？؟।":
                 continue
-            opens = not text[start:i].strip(" \t\n\xa0-—–*•")
+            opens = i - start < _NEAR and not text[start:i].strip(" \t\n\xa0-—–*•")
             end = j + 1
             while end < b and text[end] in "”’\"'»)」』":
                 end += 1
@@ -216,7 +218,7 @@ def _ends(text: str, a: int, b: int) -> list[int]:
             end = tail.end() if tail else end
             if end >= b:
                 continue
-            rest = text[end:b]
+            rest = text[end : min(b, end + _NEAR)]
             if mark in _BRACKETS:
                 if opens and rest[:1].isspace():
                     ends.append(end)
@@ -224,7 +226,7 @@ def _ends(text: str, a: int, b: int) -> list[int]:
                 continue
             if not rest[0].isspace() and not _CJK.match(rest) and rest[0] not in "“「『《（":
                 continue
-            lead = text[start:i].rstrip()
+            lead = text[max(start, i - _NEAR) : i].rstrip()
             t = rest.lstrip()
             # a speaker's label introduces no quotation
             introduced = lead.endswith((":", "：")) and len(lead.split()) > 1
@@ -291,21 +293,21 @@ def _ends(text: str, a: int, b: int) -> list[int]:
 def _gaps(text: str, a: int, b: int) -> list[int]:
     """Ends of sentences at the blanks of a spaceless script: the next word opens a sentence, and what stands before
     holds a predicate or ends in a final particle."""
-    ends, start = [], a
+    ends, start, seen, whole = [], a, a, False
     for m in re.finditer(r"\s+", text[a:b]):
         i, j = a + m.start(), a + m.end()
-        if not (i > start and j < b) or not _SPACELESS.search(text, start, i):
+        if not (i > start and j < b):
             continue
-        left, right = text[start:i], text[j : j + 40].split()[0]
-        if left.endswith(tuple(TITLES)) and left.split()[-1] in TITLES:
+        chunk, right = text[seen:i].strip(), text[j : j + 40].split()[0]
+        seen = j
+        words = lattice(chunk) if _SPACELESS.search(chunk) else (chunk,)
+        whole = whole or any(w in PREDICATES for w in words)
+        if chunk in TITLES or not (whole or words[-1] in FINALS):
             continue
-        after = lattice(right)
-        opener = after[0] in OPENERS or right in TITLES
-        words = [w for chunk in left.split() for w in lattice(chunk)]
-        whole = any(w in PREDICATES for w in words) or words[-1] in FINALS
-        if whole and (opener or not _SPACELESS.match(right) and words[-1] in FINALS):
+        opener = right in TITLES or lattice(right)[0] in OPENERS
+        if opener or not _SPACELESS.match(right) and words[-1] in FINALS:
             ends.append(i)
-            start = j
+            start, whole = j, False
     return ends
 
 
