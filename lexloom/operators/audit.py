@@ -27,6 +27,23 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return per.agg(F.sum(F.greatest(F.col("x") - F.col("y"), F.lit(0))).alias("only_a"), F.sum(F.greatest(F.col("y") - F.col("x"), F.lit(0))).alias("only_b"))
 
 
+def grid(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(expected, found): the cells a full grid of the keys' values has, and those that occur. No grid is written out."""
+    cells = df.select(*keys).where(" and ".join(f"{k} is not null" for k in keys)).distinct()
+    counts = cells.agg(*[F.count_distinct(k).alias(f"_{i}") for i, k in enumerate(keys)], F.count("*").alias("found"))
+    expected = F.lit(1).cast("bigint")
+    for i in range(len(keys)):
+        expected = expected * F.col(f"_{i}")
+    return counts.select(expected.alias("expected"), "found")
+
+
+def set_relation(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(both, only_a, only_b): distinct keys of two tables; subset, equality and disjointness read off it."""
+    rows = a.select(key, F.lit(1).alias("x"), F.lit(0).alias("y")).unionAll(b.select(key, F.lit(0).alias("x"), F.lit(1).alias("y"))).where(F.col(key).isNotNull())
+    per = rows.groupBy(key).agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    return per.agg(F.count_if(F.col("x") + F.col("y") == 2).alias("both"), F.count_if(F.col("y") == 0).alias("only_a"), F.count_if(F.col("x") == 0).alias("only_b"))
+
+
 def excluded(df: DataFrame, reserved: DataFrame, key: Column) -> DataFrame:
     """Rows whose key is in none of the reserved hashes, case ignored; rows without a key stay."""
     return df.withColumn("_k", F.lower(key)).join(reserved.where("line_hash is not null").select(F.lower("line_hash").alias("_k")).distinct(), "_k", "left_anti").drop("_k")

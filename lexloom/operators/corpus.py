@@ -86,6 +86,19 @@ def schedule(df: DataFrame, key: str, batch: int, seed: int) -> DataFrame:
     return running_sums(rows, "g", ["h"], key, "one").select(F.col("id").alias(key), F.expr(f"before div {batch}").alias("step"), F.expr(f"before % {batch}").alias("slot"))
 
 
+def recipe(parts: list[tuple[DataFrame, int]], key: str, seed: int) -> DataFrame:
+    """(step, slot, part, key): batches that take a fixed number of rows from each part; steps end with the part that runs
+    out first."""
+    total, out, offset = None, None, 0
+    for i, (df, take) in enumerate(parts):
+        steps = df.count() // take
+        total = steps if total is None else min(total, steps)
+        rows = schedule(df, key, take, seed + i).select("step", (F.col("slot") + offset).alias("slot"), F.lit(i).alias("part"), key)
+        out = rows if out is None else out.unionAll(rows)
+        offset += take
+    return out.where(F.col("step") < total)
+
+
 def distractors(targets: DataFrame, counts: DataFrame, near: int = 250, choices: int = 3, seed: int = 1) -> DataFrame:
     """(target, word): for each distinct target, hashed words within ``near`` frequency ranks; unknown targets take
     the neighbourhood of the rarest words.

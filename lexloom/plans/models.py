@@ -183,6 +183,13 @@ def rank_choices(model: Model, cases: DataFrame, id: str, options: str, tokens:
     return scored.withColumn("rank", F.expr(f"row_number() over (partition by {id} order by p desc nulls last, word)")).select(id, "word", "p", "rank")
 
 
+def formatted(predictions: DataFrame, id: str) -> DataFrame:
+    """(id, text): predictions as "1. word (12.3 %)", best first, at most a few a case."""
+    line = F.format_string("%d. %s (%.1f %%)", F.col("rank").cast("int"), F.col("word"), 100 * F.col("p"))
+    rows = predictions.select(id, F.struct("rank", line.alias("line")).alias("x"))
+    return rows.groupBy(id).agg(F.array_sort(F.collect_list("x")).alias("x")).select(id, F.array_join(F.col("x.line"), "; ").alias("text"))
+
+
 # --- plain back-off ----------------------------------------------------------------------------
 
 

@@ -243,6 +243,41 @@ def latest_request(s, d):
     return live.latest(table(s, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
 
 
+def grid_audit(s, d):
+    return audit.grid(table(s, d, "timing"), ["round_no", "method_name"])
+
+
+def set_audit(s, d):
+    """Cases with scores against cases with timings."""
+    return audit.set_relation(table(s, d, "candidate_scores"), table(s, d, "timing"), "case_id")
+
+
+def arm_difference(s, d):
+    """The scores of repeated rows against each other: the greatest difference of the two kept ones."""
+    ok = table(s, d, "candidate_scores").where("cpu_probability is not null and not isnan(cpu_probability)")
+    both = ok.groupBy("case_id", "word_id")
+    return audit.numeric_difference(both.agg(F.max("cpu_probability").alias("p")), both.agg(F.min("cpu_probability").alias("p")), ["case_id", "word_id"], "p")
+
+
+def paired_groups(s, d):
+    """Gains and losses of overlapping groups."""
+    size = F.when(F.col("words") <= 4, "1-4").when(F.col("words") <= 12, "5-12").otherwise("13+")
+    pairs = _pairs(s, d).join(_details(s, d).select("case_id", "words"), "case_id")
+    rows = pairs.withColumn("grp", F.explode(F.array(F.lit("all"), F.concat(F.lit("source "), "source"), F.concat(F.lit("words "), size))))
+    return evaluation.gains(rows, ["grp"])
+
+
+def gated_selection(s, d):
+    """Of the methods within half a point of the best top-3 share, the fastest."""
+    rows = _timed(s, d).groupBy("method_name").agg(F.avg((F.col("rank") > 0).cast("double")).alias("top3"), F.expr("percentile(milliseconds, 0.5)").alias("median_ms"))
+    return evaluation.within_of_leader(rows, "top3", 0.005, "median_ms").select("method_name", F.round("top3", 6).alias("top3"), F.round("median_ms", 6).alias("median_ms"))
+
+
+def wide_export(s, d):
+    """Both arms side by side, one row a case."""
+    return _pairs(s, d)
+
+
 def line_length_deciles(s, d):
     """Deciles of line length by source."""
     t = table(s, d, "training_lines").where("text is not null").select(source_name(F.col("source")).alias("source"), F.length("text").alias("n"))
@@ -260,7 +295,7 @@ def disjoint_parts(s, d):
 _ALL = [
     eval_rollup, mrr, wilson_by_source, grouped_metrics, paired_transitions, mcnemar, bootstrap_ci, bootstrap_pooled, error_taxonomy, error_by_length, perplexity, ranking_variants, softmax_share, calibration_fit, calibration_apply,
     reliability_bins, brier_ece, selective_accuracy, target_diagnosis, third_other_margin, target_rank, ordered_union, score_audit, rank_audit, option_audit, candidate_reach, split_reconstruction, latency_summary, arm_selection, seed_summary,
-    metric_unpivot, metric_pivot, trie_beam, trie_statistics, session_debounce, latest_request, line_length_deciles, disjoint_parts,
+    metric_unpivot, metric_pivot, trie_beam, trie_statistics, session_debounce, latest_request, grid_audit, set_audit, arm_difference, paired_groups, gated_selection, wide_export, line_length_deciles, disjoint_parts,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -330,6 +365,12 @@ ORACLE = {
     "latency_summary": "select method_name, count(*) as calls, round(quantile_cont(milliseconds, 0.5), 6) as median_ms, round(quantile_cont(milliseconds, 0.95), 6) as p95_ms, round(avg(milliseconds), 6) as mean_ms from timing where milliseconds is not null and not isnan(milliseconds) and milliseconds > 0 group by 1",
     "arm_selection": f"select method_name, count(*) filter (rank > 0) as top3_hits, count(*) filter (rank = 1) as top1_hits, round(quantile_cont(milliseconds, 0.5), 6) as median_ms from {_TIMED} group by 1 order by 2 desc, 3 desc, 4, 1 limit 1",
     "seed_summary": f"with p as (select method_name, seed, avg((rank > 0)::double) as top3, avg((rank = 1)::double) as top1 from {_TIMED} group by 1, 2) select method_name, count(*) as seeds, round(avg(top3), 6) as mean_top3, round(min(top3), 6) as least_top3, round(max(top3), 6) as most_top3, round(avg(top1), 6) as mean_top1 from p group by 1",
+    "grid_audit": "select (count(distinct round_no) * count(distinct method_name))::bigint as expected, count(distinct (round_no, method_name)) as found from timing where round_no is not null and method_name is not null",
+    "set_audit": "with a as (select distinct case_id from candidate_scores where case_id is not null), b as (select distinct case_id from timing where case_id is not null) select (select count(*) from a join b using (case_id)) as both, (select count(*) from a anti join b using (case_id)) as only_a, (select count(*) from b anti join a using (case_id)) as only_b",
+    "arm_difference": "with p as (select case_id, word_id, max(cpu_probability) - min(cpu_probability) as d from candidate_scores where cpu_probability is not null and not isnan(cpu_probability) group by 1, 2) select count(*) as compared, 0::bigint as only_a, 0::bigint as only_b, max(d) as greatest from p",
+    "paired_groups": _MCNEMAR.replace("select source, count(*)", "select grp, count(*)").replace(_PAIRS, f"(select *, unnest(['all', 'source ' || source, 'words ' || case when words <= 4 then '1-4' when words <= 12 then '5-12' else '13+' end]) as grp from {_PAIRS} join (select case_id, words from {_DETAILS}) using (case_id))"),
+    "gated_selection": f"with r as (select method_name, avg((rank > 0)::double) as top3, quantile_cont(milliseconds, 0.5) as median_ms from {_TIMED} group by 1) select method_name, round(top3, 6) as top3, round(median_ms, 6) as median_ms from r where top3 >= (select max(top3) from r) - 0.005 order by r.median_ms, r.top3 desc limit 1",
+    "wide_export": f"select case_id, source, rank_a, rank_b from {_PAIRS}",
     "metric_unpivot": f"unpivot (select source, top1, top2, top3, mrr from ({_rollup(_DETAILS)})) on top1, top2, top3, mrr into name metric value value",
     "metric_pivot": f"select split, " + ", ".join(f"round(avg((rank > 0)::double) filter (source = '{x}'), 6) as {x}" for x in ("blogs", "news", "twitter")) + f" from {_DETAILS} where source is not null group by 1",
     "trie_statistics": "with n as (select (length(word) + 1) // 2 as n from vocabulary) select count(*) as words, count(*) filter (n > 6) as over_depth, count(*) filter (n < 2) as single_token, count(*) filter (n between 2 and 6) as eligible from n",

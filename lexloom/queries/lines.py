@@ -12,6 +12,10 @@ from lexloom.session import table
 
 
 
+#: Everyday words of the spaceless example.
+ZH_WORDS = ("昨天", "今天", "早上", "晚上", "午饭", "上个星期", "一起", "没有", "帮助", "附近", "打开", "关上", "看见", "找到", "修好", "卖掉", "绿色", "车票", "茶壶", "旧桥", "花园")
+
+
 def _text():
     return F.col("text")
 
@@ -200,6 +204,36 @@ def permutation_schedule(s, d):
     return corpus.schedule(lines(s, d), "line_id", 8, 11)
 
 
+def recipe_batches(s, d):
+    """Six lines of blogs and two of news a batch."""
+    rows = lines(s, d)
+    return corpus.recipe([(rows.where("source = 'blogs'"), 6), (rows.where("source = 'news'"), 2)], "line_id", 11)
+
+
+def unicode_word_count(s, d):
+    """Words by Unicode word breaks, by language."""
+    from lexloom.functions.unicode import word_count
+
+    docs = table(s, d, "documents").where("text is not null")
+    return docs.groupBy(F.lower("lang").alias("lang")).agg(F.count("*").alias("documents"), F.sum(word_count(_text())).alias("words"))
+
+
+def composed_forms(s, d):
+    """Texts that change under composition."""
+    from lexloom.functions.unicode import nfc
+
+    rows = table(s, d, "documents").where("text is not null")
+    return rows.agg(F.count("*").alias("documents"), F.count_if(nfc(_text()) != _text()).alias("changed"))
+
+
+def spaceless_words(s, d):
+    """Words of Chinese documents by a lattice over a fixed small dictionary."""
+    from lexloom.functions.unicode import tokens_phrase
+
+    docs = table(s, d, "documents").where("text is not null and lower(lang) = 'zh'")
+    return docs.select(F.explode(tokens_phrase(_text(), "chinese", {w: 10 for w in ZH_WORDS})).alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
+
+
 def choice_distractors(s, d):
     counts = lines(s, d).select(F.explode(_tokens()).alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
     targets = cases(s, d).select(F.col("actual").alias("target"))
@@ -210,7 +244,7 @@ _ALL = [
     line_counts, longest_line, corpus_scan, quality_metrics, word_line_count, word_ratio, exact_line_count, matching_lines, distinct_matches, preview_lines, word_count_by_source, document_line_counts, length_histogram,
     percentile_filter, sentence_length_filter, prediction_triggers, dialect_ascii, dialect_case_study, dialect_letters, dialect_model, dialect_unicode, model_tokens, top_terms, top_terms_nostop, blocked_filter_totals, pipeline_checks,
     bernoulli_sample, sample_diagnostics, exact_n_per_source, dedup_first_wins, split_counts, line_hashes, contamination_antijoin, overlap_audit, key_audit, prefix_last_word, prefix_random_pos, training_positions, packed_blocks,
-    permutation_schedule, choice_distractors,
+    permutation_schedule, recipe_batches, unicode_word_count, composed_forms, spaceless_words, choice_distractors,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -264,5 +298,7 @@ ORACLE = {
     "training_positions": f"select line_id, place as \"at\", t[place] as word from (select *, row_number() over (partition by line_id order by sha256('3:' || line_id || ':' || place), place) as n from (select line_id, t, unnest(range(2, len(t) + 1))::int as place from {_TL} where len(t) >= 2)) where n <= 6",
     "packed_blocks": f"select source, block, count(*) as tokens from (select source, (row_number() over (partition by source order by line_id, k) - 1) // 128 as block from (select source, line_id, unnest(range(len(t))) as k from {_TL})) group by 1, 2",
     "permutation_schedule": f"select line_id, (n - 1) // 8 as step, (n - 1) % 8 as slot from (select line_id, row_number() over (order by sha256('11:' || line_id), line_id) as n from {LINES})",
+    "recipe_batches": f"with b as (select line_id, row_number() over (order by sha256('11:' || line_id), line_id) - 1 as n from {LINES} where source = 'blogs'), w as (select line_id, row_number() over (order by sha256('12:' || line_id), line_id) - 1 as n from {LINES} where source = 'news'), a as (select n // 6 as step, n % 6 as slot, 0 as part, line_id from b union all select n // 2, n % 2 + 6, 1, line_id from w) select * from a where step < least((select count(*) from b) // 6, (select count(*) from w) // 2)",
+    "composed_forms": "select count(*) as documents, count(*) filter (nfc_normalize(text) <> text) as changed from documents where text is not null",
     "choice_distractors": f"with r as (select word, row_number() over (order by cnt desc, word) as rank from {_COUNTS}), t as (select distinct actual as target from {CASES}), k as (select target, coalesce(rank, (select max(rank) from r)) as place from t left join r on r.word = t.target) select target, word, rank, n from (select target, word, rank, row_number() over (partition by target order by sha256('1:' || target || ':' || word), word) as n from k join r on abs(rank - place) <= 250 and word <> target) where n <= 3",
 }

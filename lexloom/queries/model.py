@@ -88,6 +88,25 @@ def kn_top3(s, d):
     return _rounded(models.predict(_kn(s, d), cases(s, d), "case_id", _prefix()))
 
 
+def kn_formatted(s, d):
+    return models.formatted(models.predict(_kn(s, d), cases(s, d), "case_id", _prefix()), "case_id")
+
+
+def context_ablation(s, d):
+    """How often the best word stays the same if only the last word of a prefix is kept."""
+    m = _kn(s, d)
+    full = models.predict(m, cases(s, d), "case_id", _prefix()).where("rank = 1").select("case_id", F.col("word").alias("a"))
+    short = cases(s, d).withColumn("prefix", F.array_join(F.slice(F.reverse(_prefix()), 1, 1), " "))
+    part = models.predict(m, short, "case_id", _prefix()).where("rank = 1").select("case_id", F.col("word").alias("b"))
+    return full.join(part, "case_id").agg(F.count("*").alias("cases"), F.count_if(F.col("a") == F.col("b")).alias("same"))
+
+
+def index_audit(s, d):
+    from lexloom.operators import audit
+
+    return audit.index_check(product.continuation_index(lines(s, d), _text()))
+
+
 def kn_estimated_top3(s, d):
     return _rounded(models.predict(_kn(s, d, discount="estimated"), cases(s, d), "case_id", _prefix()))
 
@@ -208,7 +227,7 @@ def continuation_lookup(s, d):
 
 
 _ALL = [
-    ngram_profile, bigram_counts, trigram_counts, pruned_trigrams, fivegram_bos_counts, continuation_counts, estimated_discounts, vocab_ids, constant_baseline, kn_weights, kn_backoff_mass, base_probabilities, kn_top3, kn_estimated_top3,
+    ngram_profile, bigram_counts, trigram_counts, pruned_trigrams, fivegram_bos_counts, continuation_counts, estimated_discounts, vocab_ids, constant_baseline, kn_weights, kn_backoff_mass, base_probabilities, kn_top3, kn_formatted, context_ablation, index_audit, kn_estimated_top3,
     kn5_top3, absolute_top3, interp_top3, witten_bell_top3, unigram_top3, evidence_order, target_probability, choice_ranking, backoff_top3, legacy_top3, alpha_probability, exact_continuation, compact_followers, compact_top3, cache_top3,
     dictionary_top3, mixture_top3, continuation_index, continuation_support, continuation_lookup,
 ]
@@ -356,6 +375,9 @@ ORACLE = {
     "kn_backoff_mass": f"with {_KN} select 2 as n, context, total::bigint as total, round(backoff, 6) as backoff from b2 union all select 3, context, total::bigint, round(backoff, 6) from b3",
     "base_probabilities": f"with {_KN} select word, round(p, 9) as p from base",
     "kn_top3": _top3("kneser_ney"),
+    "kn_formatted": f"select case_id, string_agg(format('{{:d}}. {{:s}} ({{:.1f}} %)', rank, word, 100 * p), '; ' order by rank) as text from ({_top3('kneser_ney').replace('round(p, 6) as p', 'p')}) group by 1",
+    "context_ablation": f"with f as ({_top3('kneser_ney')}), g as ({_top3('kneser_ney').replace('list_concat(' + str(['<s>'] * 2) + ', t) as p from (select *, ' + words('prefix') + ' as t', 'list_concat(' + str(['<s>'] * 2) + ', t) as p from (select *, ' + words('prefix') + '[-1:] as t')}) select count(*) as cases, count(*) filter (f.word = g.word) as same from f join g on f.case_id = g.case_id and f.rank = 1 and g.rank = 1",
+    "index_audit": f"with {_ENDINGS} select count(*) as rows, count(*) filter (len(string_split(context, ' ')) not between 2 and 4) as bad_context, count(*) filter (len(string_split(continuation, ' ')) not between 1 and 3) as bad_ending, count(*) filter (cnt < 1) as bad_count from ix",
     "kn_estimated_top3": _top3("kneser_ney", discount="estimated"),
     "kn5_top3": _top3("kneser_ney", 5),
     "absolute_top3": _top3("absolute"),
