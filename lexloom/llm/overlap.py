@@ -83,16 +83,21 @@ def _ordered(bags: pa.ListArray, counts: np.ndarray):
     return flat + nth * _TIE, row, at - start[row], lens, often > FREQUENT
 
 
-def _signature(ids: np.ndarray, row: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """64 bits of each bag. A bit of one bag that the other lacks is a word the other lacks."""
-    out = np.zeros(len(lens), np.uint64)
-    full = lens > 0
-    if full.any():
-        out[full] = np.bitwise_or.reduceat(np.uint64(1) << (_mix(ids) >> np.uint64(58)), (np.cumsum(lens) - lens)[full])
-    return out.view(np.int64)
+def _signature(ids: np.ndarray, row: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """120 bits of each bag: 64, and 56 above a free byte. A bit of one bag that the other lacks is a word the other lacks."""
+    bit = (_mix(ids) >> np.uint64(32)) % np.uint64(120)
+    one = np.uint64(1) << (bit & np.uint64(63))
+    out = []
+    for bits in (np.where(bit < 64, one, np.uint64(0)), np.where(bit < 64, np.uint64(0), one << np.uint64(8))):
+        own = np.zeros(len(lens), np.uint64)
+        full = lens > 0
+        if full.any():
+            own[full] = np.bitwise_or.reduceat(bits, (np.cumsum(lens) - lens)[full])
+        out.append(own.view(np.int64))
+    return out[0], out[1]
 
 
-_POSTS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("sig", pa.int64())])
+_POSTS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("sig", pa.int64()), ("more", pa.int64())])
 
 
 def _posts(counts, pairs: bool, wanted=None):
@@ -106,7 +111,7 @@ def _posts(counts, pairs: bool, wanted=None):
                 continue
             doc = b.column(0).to_numpy()
             ids, row, pos, lens, common = _ordered(b.column(1), freq)
-            sig = _signature(ids, row, lens)
+            sig, more = _signature(ids, row, lens)
             need = (4 * lens + 4) // 5
             keys, rows, at = [], [], []
 
@@ -144,12 +149,12 @@ def _posts(counts, pairs: bool, wanted=None):
             r = np.concatenate(rows) if rows else np.zeros(0, np.int64)
             k = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             p = np.concatenate(at) if at else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(doc[r]), pa.array(lens[r].astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(sig[r])], schema=_POSTS)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(doc[r]), pa.array(lens[r].astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(sig[r]), pa.array(more[r])], schema=_POSTS)
 
     return run
 
 
-_POST_DDL = "key bigint, id bigint, n int, at int, sig bigint"
+_POST_DDL = "key bigint, id bigint, n int, at int, sig bigint, more bigint"
 
 
 def _checked(shares):
@@ -192,8 +197,9 @@ def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return one.select("rep", "bag", "c"), members
 
 
-def _bits(x: str, y: str) -> Column:
-    return F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
+def _lacking(x: str, y: str) -> Column:
+    """At least so many words of bag x are not in bag y."""
+    return F.expr(f"bit_count(sig{x} & ~sig{y}) + bit_count(shiftrightunsigned(more{x} & ~more{y}, 8))")
 
 
 def near_pairs(df: DataFrame, id: str = "case_id", text: str = "prefix") -> DataFrame:
@@ -222,14 +228,17 @@ def near_classes(df: DataFrame, id: str = "case_id", text: str = "prefix") -> tu
     one, members = classes(rows)
     counts = spark.sparkContext.broadcast(word_counts(spark, rows))
     posts = one.select("rep", "bag").mapInArrow(_posts(counts, True), _POST_DDL)
-    a, b = (posts.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("id", "n", "at", "sig")]) for s in "ab")
-    need = F.expr("(4 * greatest(na, nb) + 4) div 5")
+    # sizes and positions travel in one number: a row is five longs
+    packed = posts.select("key", "id", F.expr("shiftleft(cast(n as bigint), 32) + at").alias("p"), "sig", "more")
+    a, b = (packed.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("id", "p", "sig", "more")]) for s in "ab")
+    na, nb, ata, atb = ("shiftright(pa, 32)", "shiftright(pb, 32)", "(pa & 4294967295)", "(pb & 4294967295)")
+    need = f"((4 * greatest({na}, {nb}) + 4) div 5)"
     pairs = (
         a.join(b, "key").where("ida < idb")
-        .where(F.expr("5 * least(na, nb) >= 4 * greatest(na, nb)"))
+        .where(f"5 * least({na}, {nb}) >= 4 * greatest({na}, {nb})")
         # the first common words of a true pair are one of its keys; behind them no more than the shorter rest can match
-        .where(F.expr("least(na - ata, nb - atb) + 1") >= need)
-        .where((_bits("siga", "sigb") <= F.col("na") - need) & (_bits("sigb", "siga") <= F.col("nb") - need))
+        .where(f"least({na} - {ata}, {nb} - {atb}) + 1 >= {need}")
+        .where((_lacking("a", "b") <= F.expr(f"{na} - {need}")) & (_lacking("b", "a") <= F.expr(f"{nb} - {need}")))
         .select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
     )
     with_a = pairs.join(one.select(F.col("rep").alias("a"), F.col("bag").alias("x"), F.col("c").alias("ca")), "a")
@@ -253,14 +262,15 @@ def shared_lines(cases: DataFrame, lines: DataFrame) -> DataFrame:
     y_rows = bags(lines, "line_id", "text", False).where(F.size("bag") >= 10)  # 80 % of MIN_WORDS
     (x, x_members), (y, y_members) = classes(x_rows), classes(y_rows)
     counts = spark.sparkContext.broadcast(word_counts(spark, x_rows, y_rows))
-    px = cut(x.select("rep", "bag").mapInArrow(_posts(counts, False), _POST_DDL).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("siga")), "posts")
+    # the free byte of the signature says how many words a case may lack, or how many a line has from the key on
+    px = cut(x.select("rep", "bag").mapInArrow(_posts(counts, False), _POST_DDL).select("key", F.col("id").alias("a"), F.col("sig").alias("siga"), F.expr("more | least(n div 5, 255)").alias("morea")), "posts")
     wanted = spark.sparkContext.broadcast(key_filter(px))
-    py = y.select("rep", "bag").mapInArrow(_posts(counts, False, wanted), _POST_DDL).select("key", F.col("id").alias("b"), F.expr("n - at").alias("rest"), F.col("sig").alias("sigb"))
-    need = F.expr("(4 * na + 4) div 5")
+    py = y.select("rep", "bag").mapInArrow(_posts(counts, False, wanted), _POST_DDL).select("key", F.col("id").alias("b"), F.col("sig").alias("sigb"), F.expr("more | least(n - at, 255)").alias("moreb"))
     pairs = (
         px.join(py, "key")
         # the rarest common word is a key, or the two rarest if both are frequent: what follows in the line must hold the rest
-        .where((F.col("rest") >= need) & (_bits("siga", "sigb") <= F.col("na") - need))
+        .where("(moreb & 255) = 255 or (moreb & 255) >= 4 * (morea & 255)")
+        .where((F.expr("morea & 255") == 255) | (_lacking("a", "b") <= F.expr("morea & 255")))
         .select("a", "b").distinct()
     )
     with_x = pairs.join(x.select(F.col("rep").alias("a"), F.col("bag").alias("x")), "a")

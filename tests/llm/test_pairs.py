@@ -37,7 +37,7 @@ def texts():
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(400)]
     out = []
-    for n in (12, 13, 15, 20, 30, 60, 64, 66, 75, 80, 82, 120):
+    for n in (12, 13, 15, 20, 30, 60, 64, 66, 75, 80, 82, 120, 1500):
         for _ in range(4):
             base = [rng.choice(vocab) if rng.random() < 0.7 else rng.choice(["the", "a", "of"]) for _ in range(n)]
             out += [base, edited(rng, base, 1), edited(rng, base, max(1, n // 6)), edited(rng, base, n // 4), base]
