@@ -228,9 +228,9 @@ def near_classes(df: DataFrame, id: str = "case_id", text: str = "prefix") -> tu
     one, members = classes(rows)
     counts = spark.sparkContext.broadcast(word_counts(spark, rows))
     posts = one.select("rep", "bag").mapInArrow(_posts(counts, True), _POST_DDL)
-    # sizes and positions travel in one number: a row is five longs
-    packed = posts.select("key", "id", F.expr("shiftleft(cast(n as bigint), 32) + at").alias("p"), "sig", "more")
-    a, b = (packed.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("id", "p", "sig", "more")]) for s in "ab")
+    # sizes and positions travel in one number, signatures folded to 64 bits: pairs of rare words leave few candidates
+    packed = posts.select("key", "id", F.expr("shiftleft(cast(n as bigint), 32) + at").alias("p"), F.expr("sig | shiftrightunsigned(more, 8)").alias("sig"))
+    a, b = (packed.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("id", "p", "sig")]) for s in "ab")
     na, nb, ata, atb = ("shiftright(pa, 32)", "shiftright(pb, 32)", "(pa & 4294967295)", "(pb & 4294967295)")
     need = f"((4 * greatest({na}, {nb}) + 4) div 5)"
     pairs = (
@@ -238,7 +238,7 @@ def near_classes(df: DataFrame, id: str = "case_id", text: str = "prefix") -> tu
         .where(f"5 * least({na}, {nb}) >= 4 * greatest({na}, {nb})")
         # the first common words of a true pair are one of its keys; behind them no more than the shorter rest can match
         .where(f"least({na} - {ata}, {nb} - {atb}) + 1 >= {need}")
-        .where((_lacking("a", "b") <= F.expr(f"{na} - {need}")) & (_lacking("b", "a") <= F.expr(f"{nb} - {need}")))
+        .where(f"bit_count(siga & ~sigb) <= {na} - {need} and bit_count(sigb & ~siga) <= {nb} - {need}")
         .select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
     )
     with_a = pairs.join(one.select(F.col("rep").alias("a"), F.col("bag").alias("x"), F.col("c").alias("ca")), "a")
