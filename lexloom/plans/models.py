@@ -106,7 +106,7 @@ def best_words(model: Model, k: int, barred: DataFrame | None = None) -> DataFra
     for n in range(2, model.order + 1):
         own = grams.where(F.col("n") == n).withColumn("r", F.expr("row_number() over (partition by context order by p desc, word)")).where(F.col("r") <= k)
         own = own.groupBy("context").agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("q"), "word"))).alias("own"))
-        rows = model.contexts.where(F.col("n") == n).select("context", "backoff", _tail().alias("tail")).join(own, "context", "left").join(lower, "tail")
+        rows = model.contexts.where(F.col("n") == n).select("context", "backoff", _tail().alias("tail")).join(own, "context", "left").join(F.broadcast(lower) if n == 2 else lower, "tail")  # one row at order 1
         # a word of the context's own that comes again from below has a smaller p there and is dropped
         rest = F.expr("transform(filter(below, x -> not exists(own, o -> o.word = x.word)), x -> struct(x.q * backoff as q, x.word as word))")
         top = F.when(F.col("own").isNull(), F.col("below")).otherwise(F.slice(F.array_sort(F.concat("own", rest)), 1, k))
@@ -126,12 +126,6 @@ def contexts_of(cases: DataFrame, tokens: Column, order: int, starts: bool) -> D
     return rows.withColumn("ctx", F.array_compact(F.array(*parts))).drop("_t")
 
 
-def _known(cases: DataFrame, model: Model, id: str) -> DataFrame:
-    """(id, n, context): the contexts of each case; n = 1 stands for none."""
-    rows = cases.select(id, F.explode(F.concat(F.array(F.struct(F.lit(1).alias("n"), F.lit("").alias("context"))), "ctx")).alias("c"))
-    return rows.select(id, "c.n", "c.context")
-
-
 def predict(model: Model, cases: DataFrame, id: str, tokens: Column) -> DataFrame:
     """(id, rank, word, p, n): the best words of each case, from its longest known context of order n."""
     rows = contexts_of(cases, tokens, model.order, model.starts)
@@ -139,18 +133,27 @@ def predict(model: Model, cases: DataFrame, id: str, tokens: Column) -> DataFram
     return found.select(id, (F.col("i") + 1).alias("rank"), F.col("x.word").alias("word"), (-F.col("x.q")).alias("p"), "n")
 
 
+def shortest(best: DataFrame) -> Column:
+    """The best words without any context, a few structs, as a literal: no join has to bring them to every row."""
+    row, kind = best.where("n = 1").select("top").first(), best.schema["top"].dataType
+    words = [] if row is None else row.top
+    structs = [F.struct(*[F.lit(x[f.name]).cast(f.dataType).alias(f.name) for f in kind.elementType.fields]) for x in words]
+    return F.array(*structs).cast(kind) if structs else F.lit(None).cast(kind)
+
+
 def _longest(rows: DataFrame, best: DataFrame) -> DataFrame:
     """``rows`` with (n, top) of their longest known context. Distinct contexts are looked up once, whatever number of
-    cases end in them; order 1 is always known."""
+    cases end in them."""
     asked = rows.select(F.col("ctx").alias("c")).distinct()
-    hits = asked.select("c", F.explode(F.concat(F.array(F.struct(F.lit(1).alias("n"), F.lit("").alias("context"))), "c")).alias("x")).select("c", "x.n", "x.context").join(best, ["n", "context"])
+    hits = asked.select("c", F.explode("c").alias("x")).select("c", "x.n", "x.context").join(best.where("n > 1"), ["n", "context"])
     longest = hits.groupBy("c").agg(F.max_by(F.struct("n", "top"), "n").alias("hit"))
-    return rows.join(longest, rows["ctx"] == longest["c"]).select(*[c for c in rows.columns], F.col("hit.n").alias("n"), F.col("hit.top").alias("top"))
+    out = rows.join(longest, rows["ctx"] == longest["c"], "left")
+    return out.select(*rows.columns, F.coalesce("hit.n", F.lit(1)).alias("n"), F.coalesce("hit.top", shortest(best)).alias("top"))
 
 
 def evidence(model: Model, cases: DataFrame, id: str, tokens: Column) -> DataFrame:
     """(id, n, context, total, types): the longest context with kept grams."""
-    rows = _known(contexts_of(cases, tokens, model.order, model.starts), model, id)
+    rows = contexts_of(cases, tokens, model.order, model.starts).select(id, F.explode("ctx").alias("c")).select(id, "c.n", "c.context")
     hits = rows.join(model.contexts.where("types > 0"), ["n", "context"])
     best = hits.groupBy(id).agg(F.max_by(F.struct("n", "context", "total", "types"), "n").alias("h"))
     return cases.select(id).join(best, id, "left").select(id, F.coalesce("h.n", F.lit(1)).alias("n"), F.coalesce("h.context", F.lit("")).alias("context"), F.coalesce("h.total", F.lit(0)).alias("total"), F.coalesce("h.types", F.lit(0)).alias("types"))
@@ -217,7 +220,7 @@ def build_backoff(df: DataFrame, tokens: Column, order: int = 3, least: int = 1,
         if lower is None:
             level = own.select("context", F.col("own").alias("top"))
         else:
-            rows = own.withColumn("tail", _tail()).join(lower, "tail", "left")
+            rows = own.withColumn("tail", _tail()).join(F.broadcast(lower) if n == 2 else lower, "tail", "left")  # one row at order 1
             rest = F.expr("filter(coalesce(below, array()), x -> not exists(own, o -> o.word = x.word))")
             level = rows.select("context", F.slice(F.concat("own", rest), 1, k).alias("top"))
         level = cut(level, f"filled{n}")
@@ -237,8 +240,10 @@ def predict_backoff(model: BackOff, cases: DataFrame, id: str, tokens: Column) -
 
 def smoothed_probability(model: BackOff, cases: DataFrame, id: str, word: str, tokens: Column, alpha: float = 0.5) -> DataFrame:
     """(id, p): (count + alpha) / (total + alpha V) in the longest known context."""
-    rows = contexts_of(cases, tokens, model.order, False)
-    flat = rows.select(id, F.col(word).alias("word"), F.explode(F.concat(F.array(F.struct(F.lit(1).alias("n"), F.lit("").alias("context"))), "ctx")).alias("c")).select(id, "word", "c.n", "c.context")
-    longest = flat.join(model.contexts, ["n", "context"]).groupBy(id, "word").agg(F.max_by(F.struct("n", "context", "total"), "n").alias("h")).select(id, "word", "h.*")
-    seen = longest.join(model.grams, ["n", "context", "word"], "left")
+    rows = contexts_of(cases, tokens, model.order, False).select(id, F.col(word).alias("word"), "ctx")
+    flat = rows.select(id, "word", F.explode("ctx").alias("c")).select(id, "word", "c.n", "c.context")
+    longest = flat.join(model.contexts.where("n > 1"), ["n", "context"]).groupBy(id, "word").agg(F.max_by(F.struct("n", "context", "total"), "n").alias("h"))
+    first = model.contexts.where("n = 1").agg(F.sum("total")).first()[0] or 0
+    named = rows.select(id, "word").distinct().join(longest, [id, "word"], "left").select(id, "word", F.coalesce("h.n", F.lit(1)).alias("n"), F.coalesce("h.context", F.lit("")).alias("context"), F.coalesce("h.total", F.lit(first)).alias("total"))
+    seen = named.join(model.grams, ["n", "context", "word"], "left")
     return seen.select(id, ((F.coalesce("cnt", F.lit(0)) + alpha) / (F.col("total") + alpha * model.words)).alias("p"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.plans.models import Model, contexts_of
+from lexloom.plans.models import Model, contexts_of, predict, shortest
 
 #: Longest phrase that is scored, in characters.
 LONGEST = 500
@@ -37,8 +37,6 @@ def latest(rows: DataFrame, key: str, seq: str) -> DataFrame:
 
 
 def score_batch(model: Model, phrases: DataFrame, id: str, tokens: Column) -> DataFrame:
-    from lexloom.plans.models import predict
-
     return predict(model, phrases, id, tokens)
 
 
@@ -46,14 +44,12 @@ def score_stream(model: Model, stream: DataFrame, id: str, tokens: Column) -> Da
     """(id, n, top) of every streamed phrase by a stream-static join on its longest context. The static side holds one row
     per context with its best words; the context is found by one left join per order, longest first."""
     rows = contexts_of(stream, tokens, model.order, model.starts)
-    found = F.lit(None)
-    for n in range(model.order, 0, -1):
+    for n in range(model.order, 1, -1):
         side = model.best.where(F.col("n") == n).select(F.col("context").alias(f"c{n}"), F.col("top").alias(f"top{n}"))
-        key = F.lit("") if n == 1 else F.expr(f"get(filter(ctx, x -> x.n = {n}), 0).context")
-        rows = rows.withColumn(f"k{n}", key).join(side, F.col(f"k{n}") == F.col(f"c{n}"), "left")
-    order = range(model.order, 0, -1)
-    found = F.coalesce(*[F.col(f"top{n}") for n in order])
-    level = F.coalesce(*[F.when(F.col(f"top{n}").isNotNull(), F.lit(n)) for n in order])
+        rows = rows.withColumn(f"k{n}", F.expr(f"get(filter(ctx, x -> x.n = {n}), 0).context")).join(side, F.col(f"k{n}") == F.col(f"c{n}"), "left")
+    order = range(model.order, 1, -1)
+    found = F.coalesce(*[F.col(f"top{n}") for n in order], shortest(model.best))
+    level = F.coalesce(*[F.when(F.col(f"top{n}").isNotNull(), F.lit(n)) for n in order], F.lit(1))
     return rows.select(id, level.alias("n"), F.transform(found, lambda x: F.struct(x["word"].alias("word"), (-x["q"]).alias("p"))).alias("top"))
 
 
