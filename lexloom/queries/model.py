@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import tokens_letters as _letters
@@ -9,7 +12,7 @@ from lexloom.functions.text import tokens_model
 from lexloom.operators import ngrams
 from lexloom.plans import models, product
 from lexloom.queries.common import CASES, LETTERS, LINES, MODEL, cases, lines, words
-from lexloom.session import table
+from lexloom.session import cut, small, table
 
 
 
@@ -161,21 +164,26 @@ def alpha_probability(s, d):
 
 
 def exact_continuation(s, d):
-    """The most frequent next words after a prefix's longest literal ending of 8, 5, 3 or 2 words, first source first."""
-    rows = cases(s, d).select("case_id", _prefix().alias("t"))
-    asked = rows.select("case_id", F.explode(F.expr("transform(filter(array(8, 5, 3, 2), c -> c <= size(t)), c -> struct(c as n, array_join(slice(t, -c, c), ' ') as context))")).alias("x")).select("case_id", "x.n", "x.context")
+    """The most frequent next words after a prefix's longest literal ending, first source first. Endings have 12, 8, 5, 3
+    or 2 words, each cut to the prefix's own length, so that a short prefix is also asked for as a whole."""
+    lengths = (12, 8, 5, 3, 2)
+    rows = cases(s, d).select("case_id", _prefix().alias("t")).where(F.size("t") > 0)
+    asked = rows.select("case_id", F.explode(F.expr(f"transform(array_distinct(transform(array{lengths}, c -> least(c, size(t)))), c -> struct(c as n, array_join(slice(t, -c, c), ' ') as context))")).alias("x")).select("case_id", "x.n", "x.context")
     wanted = asked.select("n", "context").distinct()
-    texts = lines(s, d).select("source", _text().alias("t")).where(F.size("t") >= 3)
-    followed = None
-    for n in (8, 5, 3, 2):
+    texts = lines(s, d).select("source", _text().alias("t")).where(F.size("t") >= 2)
+
+    def followed(n):
         pairs = texts.where(F.size("t") > n).select("source", F.explode(F.expr(f"transform(sequence(1, size(t) - {n}), i -> struct(array_join(slice(t, i, {n}), ' ') as context, t[i + {n - 1}] as word))")).alias("g"))
-        # only endings that are asked for are counted
-        part = pairs.select("source", F.lit(n).alias("n"), "g.context", "g.word").join(wanted.where(F.col("n") == n).select("context"), "context", "left_semi").select("source", "n", "context", "word")
-        followed = part if followed is None else followed.unionAll(part)
-    counts = followed.groupBy("source", "n", "context", "word").agg(F.count("*").alias("cnt"))
-    hit = asked.join(counts.select("n", "context", "source").distinct(), ["n", "context"]).groupBy("case_id").agg(F.min(F.struct("source", (-F.col("n")).alias("m"), "context")).alias("h")).select("case_id", "h.source", (-F.col("h.m")).alias("n"), "h.context")
-    out = hit.join(counts, ["source", "n", "context"]).withColumn("rank", F.expr("row_number() over (partition by case_id order by cnt desc, word)"))
-    return out.where("rank <= 3").select("case_id", "source", "n", "rank", "word", "cnt")
+        return pairs.select("source", F.lit(n).alias("n"), "g.context", "g.word")
+
+    # only endings that are asked for are counted; the other lengths are whole prefixes, which are few
+    parts = [followed(n).join(wanted.where(F.col("n") == n), ["n", "context"], "left_semi") for n in lengths]
+    whole = small(wanted.where(~F.col("n").isin(*lengths)))
+    parts.append(reduce(DataFrame.unionAll, [followed(n) for n in range(1, max(lengths)) if n not in lengths]).join(whole, ["n", "context"], "left_semi"))
+    counts = reduce(DataFrame.unionAll, [p.select("source", "n", "context", "word") for p in parts]).groupBy("source", "n", "context", "word").agg(F.count("*").alias("cnt"))
+    best = cut(counts.withColumn("rank", F.expr("row_number() over (partition by source, n, context order by cnt desc, word)")).where("rank <= 3"), "followers")
+    hit = asked.join(best.where("rank = 1").select("n", "context", "source"), ["n", "context"]).groupBy("case_id").agg(F.min(F.struct("source", (-F.col("n")).alias("m"), "context")).alias("h")).select("case_id", "h.source", (-F.col("h.m")).alias("n"), "h.context")
+    return hit.join(best, ["source", "n", "context"]).select("case_id", "source", "n", "rank", "word", "cnt")
 
 
 def _compact(s, d):

@@ -148,3 +148,27 @@ def test_empty_corpus(spark, tables):
     df, cases = tables
     m = models.build(df.limit(0), tokens_model(F.col("text")), "kneser_ney", 3, 1)
     assert models.predict(m, cases, "case_id", tokens_model(F.col("prefix"))).count() == 0
+
+
+def test_exact_continuation_lengths(spark, tmp_path):
+    """Endings of 12, 8, 5, 3 and 2 words, each cut to the prefix's own length, against plain counting."""
+    from lexloom.queries.model import exact_continuation
+
+    base = [f"word{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    texts = [("news", " ".join(base[:16])), ("news", "odd " + " ".join(base[4:12]) + " other"), ("news", "odd " + " ".join(base[4:12]) + " other"), ("blogs", "solo follows"), ("news", "solo never"), ("blogs", " ".join(["x", "y"] * 9)), ("news", None), ("news", "one")]
+    prefixes = [" ".join(base[:k]) for k in range(1, 15)] + ["solo", "x", "y x", "unseen", "", "?!", None]
+    spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(texts)], "line_id bigint, source string, text string").write.parquet(f"{tmp_path}/training_lines.parquet")
+    spark.createDataFrame([(i, "news", p, "z") for i, p in enumerate(prefixes)], "case_id bigint, source string, prefix string, actual string").write.parquet(f"{tmp_path}/development.parquet")
+    want = set()
+    for i, p in enumerate(prefixes):
+        words = "".join(c if c.isalpha() else " " for c in p or "").split()
+        levels = sorted({min(c, len(words)) for c in (12, 8, 5, 3, 2)} - {0}, reverse=True)
+        for source, n in itertools.product(("blogs", "news"), levels):
+            toks = [t.split() for s, t in texts if s == source and t]
+            found = Counter(t[k + n] for t in toks for k in range(len(t) - n) if t[k : k + n] == words[-n:])
+            if found:
+                best = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:3]
+                want |= {(i, source, n, r + 1, w, c) for r, (w, c) in enumerate(best)}
+                break
+    got = {tuple(r) for r in exact_continuation(spark, str(tmp_path)).collect()}
+    assert {n for _, _, n, *_ in want} == set(range(1, 13)) and got == want
