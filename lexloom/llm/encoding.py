@@ -22,6 +22,9 @@ RATIO = 3.0
 #: Code points of a run that is used for learning; longer ones are passages, not characters.
 _RUN = 12
 
+#: Blanks that may be meant although no token shows them: tokens are cut at some of them.
+_BLANKS = frozenset("\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
 _ASCII_BLANK = r" \t\r\n\u2009\u3000"
 _TOKEN = f"[^{_ASCII_BLANK}]*[^\\x00-\\x7F{_ASCII_BLANK}][^{_ASCII_BLANK}]*"
 _OUTER = "[!-/:-@\\[-`{-~]+"
@@ -201,7 +204,7 @@ def garbled_tokens(df: DataFrame, id: str = "case_id", text: str = "prefix") ->
     learned = [(r.written, r.read) for r in found]
     if ("utf-8", "cp1252") not in learned:
         learned.append(("utf-8", "cp1252"))
-    alphabet = {r.c for r in known.collect()} | {chr(c) for c in (*range(0xA0, 0x100), 0x2009, 0x2013, 0x2014, *range(0x2018, 0x201F), 0x2020, 0x2021, 0x2022, 0x2026, 0x2030, 0x2039, 0x203A, 0x20AC, 0x2122)}
+    alphabet = {r.c for r in known.collect()} | _BLANKS | {chr(c) for c in (*range(0xA0, 0x100), 0x2013, 0x2014, *range(0x2018, 0x201F), 0x2020, 0x2021, 0x2022, 0x2026, 0x2030, 0x2039, 0x203A, 0x20AC, 0x2122)}
 
     proposed = cut(counted.select("token").mapInArrow(_candidates(learned, alphabet), "token string, restored string, sure boolean, how string"), "proposed")
     sure = proposed.where("sure").select("token", "restored")

@@ -47,6 +47,16 @@ def test_garbled_found_and_restored(spark, garbled_rows):
     assert sum(fixed[i] == truth[i] for i in whole) >= 0.9 * len(whole)
 
 
+def test_garbled_blanks(spark):
+    """Blanks at which tokens are cut are restored like other characters."""
+    blanks = "\u3000\u2002\u2003\u2009\u202f"
+    truth = {i: f"{c}an indent and {c} more words" for i, c in enumerate(blanks)}
+    rows = [(i, t.encode().decode("cp1252")) for i, t in truth.items()]
+    clean = [(100 + i, t) for i, t in truth.items()]
+    assert {r.case_id for r in encoding.garbled(dev(spark, rows + clean)).collect()} == set(truth)
+    assert {r.case_id: r.restored for r in encoding.restored(dev(spark, rows + clean)).collect()} == truth
+
+
 def test_no_garbled_rows(spark):
     assert encoding.garbled(dev(spark, [(1, "a"), (2, None)])).count() == 0
     assert encoding.restored(dev(spark, [(1, "a")]).limit(0)).count() == 0
