@@ -44,6 +44,7 @@ _ITEM = re.compile(r"\s*(?:[-*•‣▪·–—+]\s+|\(?\d{1,3}[.)]\s+|\(?[a-z]\
 _MESSAGE = re.compile(r"@\w|(?i:rt|omg|via|who|can['’]t)\b|[A-Z]\w{0,15}: ")
 _SPACELESS = re.compile(r"[฀-๿຀-໿က-႟ក-៿]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
+_BLANK = re.compile(r"\s*")
 _LINE = re.compile(r"[^\n\r  \x0b\x0c]+")
 
 #: Dictionary of the spaceless lattice: words that open sentences, predicates, and words that a gap cannot follow or precede.
@@ -204,6 +205,7 @@ def _ends(text: str, a: int, b: int) -> list[int]:
     for i, mark in marks:
         if i < skip:
             continue
+        start = _BLANK.match(text, start, i).end()
         if i in pairs:  # nothing ends inside quotations and brackets
             j = pairs[i]
             inner = text[i + 1 : j].rstrip()
@@ -218,7 +220,8 @@ def _ends(text: str, a: int, b: int) -> list[int]:
             end = tail.end() if tail else end
             if end >= b:
                 continue
-            rest = text[end : min(b, end + _NEAR)]
+            near = _BLANK.match(text, end, b).end()  # however far the next word is
+            rest = " " * (near > end) + text[near : min(b, near + _NEAR)]
             if mark in _BRACKETS:
                 if opens and rest[:1].isspace():
                     ends.append(end)
@@ -226,7 +229,10 @@ def _ends(text: str, a: int, b: int) -> list[int]:
                 continue
             if not rest[0].isspace() and not _CJK.match(rest) and rest[0] not in "“「『《（":
                 continue
-            lead = text[max(start, i - _NEAR) : i].rstrip()
+            before = i
+            while before > start and text[before - 1].isspace():
+                before -= 1
+            lead = text[max(start, before - _NEAR) : before]
             t = rest.lstrip()
             # a speaker's label introduces no quotation
             introduced = lead.endswith((":", "：")) and len(lead.split()) > 1
@@ -259,7 +265,8 @@ def _ends(text: str, a: int, b: int) -> list[int]:
                 ends.append(end)
                 start = skip = end
             continue
-        t = text[end : min(b, end + 60)].lstrip()
+        near = _BLANK.match(text, end, b).end()
+        t = text[near : min(b, near + 60)]
         if not t:
             continue
         if cased is None:

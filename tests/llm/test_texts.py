@@ -193,6 +193,16 @@ def test_layout():
     assert [wrapped[a:b].replace("\n", " ") for a, b in sentences.split(wrapped)] == prose.replace("noon. ", "noon.\0").split("\0")
 
 
+@pytest.mark.parametrize("blanks", [1, 60, 200, 500])
+def test_wide_gaps(blanks):
+    """Padding between sentences hides no end."""
+    parts = ["Ann sold the mill.", "“Is it ready?”", "Bob left the town.", "(See the long report.)", "“We left.” Ann said so.", "It rained!", "“No.” she said."]
+    text = (" " * blanks).join(parts)
+    assert [text[a:b] for a, b in sentences.split(text)] == parts
+    text = f"“Is it ready?”{' ' * blanks}asked Ann.{' ' * blanks}Bob left."
+    assert len(sentences.split(text)) == 2
+
+
 def test_every_character_once_and_edges(spark):
     rng = random.Random(9)
     alphabet = "ab C.!?…。\"'“”‘’«»()\n \t　ก中:—-1.,😀"
