@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Abbreviations that never end a sentence: titles, references, "that is", units that a number or name follows.
+#: Abbreviations that seldom end a sentence: titles, references, "that is", units that a number or name follows.
 NEVER = frozenset(
     "mr mrs ms dr prof capt lt col gen sgt rev hon st mt no nos fig figs vol vols ch chap p pp sec eq ed eds cf vs viz al approx incl excl ca i.e e.g inc co u.s u.k dept est "
     "sr sra srta dra dña av avda núm pág ej m mm mme mlle mgr ex env "
@@ -18,6 +18,25 @@ NEVER = frozenset(
     "т е т.е д т.д г гг тыс млн млрд руб ул рис стр им др см "
     "डॉ श्री सुश्री प्रो د أ ดร".split()
 )
+#: Of these, the ones that always go on: a name, an explanation or a number follows, whatever its capital.
+FIRM = frozenset(
+    "mr mrs ms dr prof capt lt col gen sgt rev hon mt cf vs viz approx incl excl ca i.e e.g "
+    "sra srta dra dña av avda ej m mme mlle mgr ex env z.b d.h u.a bzw ggf evtl sog vgl hr fr abs "
+    "dhr mevr mw bijv a.d d.w.z o.a т.е им др डॉ श्री सुश्री प्रो د أ ดร".split()
+)
+#: Of these, the ones that are also words, or that only a number follows.
+PLAIN = frozenset("no nos fig figs vol vols chap sec eq nr núm pág frau est mm рис стр см".split())
+#: Words that, with a capital, open a sentence and are no name.
+OPENING = frozenset(
+    "a the this that these those he she it they we you i his her its their our my your there then here when while if but so now later after before at in on for from with what why how where yes no not nobody everyone many most all both "
+    "der die das den dem ein eine er sie es wir ihr ich man dann da dort hier heute gestern morgen aber wenn als nach vor im am auf für mit diese dieser nun jetzt "
+    "le la les un une il elle ils elles nous vous je ce cette ces puis alors demain mais quand dans après avant "
+    "el él ella ellos ellas los las yo entonces luego después ayer hoy mañana pero cuando si en por "
+    "de het een hij zij ze wij ik daarna toen maar gisteren vandaag "
+    "он она оно они мы вы я это этот эта эти там тогда потом затем но а и вчера сегодня завтра если когда в на после".split()
+)
+#: Of these, the ones that open surnames as well: after a single letter they tell nothing.
+_SURNAME = frozenset("le la les der die den dem das de el los las da so no in on".split())
 #: Abbreviations that end one if what follows looks like an opening.
 MAY = frozenset("a.m p.m corp ltd jr etc usw ph.d m.d b.a coop plc etc коп uhr".split())
 #: Words that never open a sentence, so that a mark before them is part of a name or an aside.
@@ -178,6 +197,21 @@ def _attributed(rest: str) -> bool:
     return False
 
 
+def _closes(token: str, led: bool, t: str, word: str) -> bool:
+    """Whether an abbreviation or letter ends a sentence before ``t``, of which ``word`` is the first word. ``led`` tells
+    that a letter with a full stop stands before the token."""
+    lead = t.lstrip("(\"'“„«‘[¿¡—–- ")
+    if token in FIRM or not lead[:1].isupper():
+        return False
+    word = word.lstrip("(\"'“„«‘[¿¡—–-")
+    if token in PLAIN and not (re.match(r"(?:[IVXLC]+|[A-Z])\b", lead) and word not in OPENING):
+        return True
+    if lead[len(word) : len(word) + 1] == "." and len(word) == 1:  # an initial
+        return False
+    short = len(token) == 1
+    return word in OPENING and not (short and (led or word in _SURNAME))
+
+
 def _cased(block: str) -> bool:
     """Whether the case of letters tells anything in this block."""
     up, low = sum(map(str.isupper, block)), sum(map(str.islower, block))
@@ -284,7 +318,8 @@ def _ends(text: str, a: int, b: int) -> list[int]:
                 if telling and first.islower():
                     continue
             elif token in NEVER or re.fullmatch(r"(?:[^\W\d_]\.)*[^\W\d_]", token) and not _CJK.match(token):
-                continue
+                if not (telling and _closes(token, bool(re.search(r"(?:^|\s)[^\W\d_]\.\s*$", text[max(start, s - 8) : s])), t, word)):
+                    continue
             elif re.fullmatch(r"\d{1,2}", token):
                 before = text[start:s].split()
                 if word in _MONTHS or before and before[-1].lower() in _BEFORE_DAY:

@@ -193,6 +193,23 @@ def test_layout():
     assert [wrapped[a:b].replace("\n", " ") for a, b in sentences.split(wrapped)] == prose.replace("noon. ", "noon.\0").split("\0")
 
 
+ABBREVIATED = [
+    ["The answer was no.", "She left.", "It was no.", "Ann left, see no. 5 and No. IV there."],
+    ["Sie ist meine Frau.", "Er kam mit Fr. Müller."],
+    ["He works at Acme Inc.", "They hired him.", "Acme Inc. Berlin and Acme Co. of Orl paid."],
+    ["We chose plan B.", "Then it rained.", "J. R. Smith and J. La Fontaine met Mr. I. A. Wa."],
+    ["She lived in the U.S.", "He didn't, i.e. The Hague it was."],
+    ["Er kam, z. B. Sie wissen es, um 8 Uhr.", "Er ging."],
+    ["Он ел рис.", "Она ушла в 1965 г.", "Потом она вернулась, см. рис. 5 и др. Иванов."],
+]
+
+
+@pytest.mark.parametrize("parts", ABBREVIATED)
+def test_abbreviations_may_end(parts):
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in sentences.split(text)] == parts
+
+
 @pytest.mark.parametrize("blanks", [1, 60, 200, 500])
 def test_wide_gaps(blanks):
     """Padding between sentences hides no end."""
