@@ -63,6 +63,7 @@ _ITEM = re.compile(r"\s*(?:[-*•‣▪·–—+]\s+|\(?\d{1,3}[.)]\s+|\(?[a-z]\
 _MESSAGE = re.compile(r"@\w|(?i:rt|omg|via|who|can['’]t)\b|[A-Z]\w{0,15}: ")
 _SPACELESS = re.compile(r"[฀-๿຀-໿က-႟ក-៿]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
+_WIDE_MARK = re.compile("[\u3000-\u303f\uff01-\uff60]")
 _BLANK = re.compile(r"\s*")
 _LINE = re.compile(r"[^\n\r  \x0b\x0c]+")
 
@@ -98,21 +99,14 @@ def _lines(text: str) -> list[tuple[int, int]]:
     return [(m.start(), m.end()) for m in _LINE.finditer(text) if not m.group().isspace()]
 
 
-def _blocks(text: str) -> list[tuple[int, int]]:
-    """Lines, joined where a break only wraps running text: nearly every break of the text stands where the next word no
-    longer fitted, and most stand inside a sentence."""
-    lines = _lines(text)
-    breaks = []
-    for k in range(len(lines) - 1):
-        (a, b), (c, e) = lines[k], lines[k + 1]
-        if text.count("\n", b, c) == 1 and not _CJK.search(text, b - 1, b):
-            breaks.append(k)
-    if not breaks:
-        return lines
-    width = max(len(text[a:b].rstrip()) for a, b in lines)
-    if not 50 <= width <= 100 or _SPACELESS.search(text):
-        return lines
-    wraps, forced, inside, lower, plain, messages = set(), 0, 0, 0, 0, 0
+def _cells(text: str) -> int:
+    """Columns that a text takes: two for each ideograph or kana."""
+    return len(text) + len(_CJK.findall(text)) + len(_WIDE_MARK.findall(text))
+
+
+def _wraps(text: str, lines: list[tuple[int, int]], breaks: list[int], lens: list[int], width: int) -> set[int]:
+    """The breaks that wrap running text of ``width`` columns; none if too few stand where the next word no longer fitted."""
+    wraps, forced, inside, lower, wide, plain, messages = set(), 0, 0, 0, 0, 0, 0
     for k in breaks:
         (a, b), (c, e) = lines[k], lines[k + 1]
         nxt = text[c:e].lstrip()
@@ -120,20 +114,48 @@ def _blocks(text: str) -> list[tuple[int, int]]:
             continue
         plain += 1
         messages += bool(_MESSAGE.match(nxt))
-        if len(text[a:b].rstrip()) + 1 + len(nxt.split(None, 1)[0]) > width:
+        last = text[a:b].rstrip()[-1]
+        word = nxt.split(None, 1)[0]
+        if _CJK.match(last) or _WIDE_MARK.match(last) or _CJK.match(nxt):
+            need, dense = 4, True  # a mark that may not open a line takes its neighbour along
+        elif _SPACELESS.match(last) or _SPACELESS.match(nxt):
+            need, dense = min(len(word), 10), True
+        else:
+            need, dense = 1 + len(word), False
+        if lens[k] + need > width:
             forced += 1
             wraps.add(k)
-            if text[a:b].rstrip()[-1] not in ".!?…:”»\")']।؟":
+            if last not in ".!?…:”»\")']।؟。！？：」』":
                 inside += 1
-                lower += nxt[0].islower() and not _MESSAGE.match(nxt)
-    if forced >= 0.8 * plain and forced and messages <= 0.3 * plain and (lower or inside >= 5 and inside >= 0.5 * forced):
-        out = [list(lines[0])]
-        for k in range(1, len(lines)):
-            if k - 1 in wraps:
-                out[-1][1] = lines[k][1]
-            else:
-                out.append(list(lines[k]))
-        return [tuple(x) for x in out]
+                wide += dense
+                lower += not dense and nxt[0].islower() and not _MESSAGE.match(nxt)
+    if not forced or forced < 0.8 * plain or messages > 0.3 * plain:
+        return set()
+    if width < 50 or wide > 0.5 * inside:  # short lines, or no small letters, tell less
+        told = forced >= 3 and forced >= 0.95 * plain and inside >= 0.5 * forced and width >= 24 and lower + wide >= 0.5 * inside
+    else:
+        told = lower or inside >= 5 and inside >= 0.5 * forced
+    return wraps if told else set()
+
+
+def _blocks(text: str) -> list[tuple[int, int]]:
+    """Lines, joined where a break only wraps running text: nearly every break of the text stands where the next word no
+    longer fitted, and most stand inside a sentence."""
+    lines = _lines(text)
+    breaks = [k for k in range(len(lines) - 1) if text.count("\n", lines[k][1], lines[k + 1][0]) == 1]
+    if not breaks:
+        return lines
+    lens = [_cells(text[a:b].rstrip()) for a, b in lines]
+    # some lines may be longer than the text was wrapped at
+    for width in dict.fromkeys((max(lens), sorted(lens)[-1 - max(1, len(lens) // 10)])):
+        if wraps := _wraps(text, lines, breaks, lens, width):
+            out = [list(lines[0])]
+            for k in range(1, len(lines)):
+                if k - 1 in wraps:
+                    out[-1][1] = lines[k][1]
+                else:
+                    out.append(list(lines[k]))
+            return [tuple(x) for x in out]
     return lines
 
 

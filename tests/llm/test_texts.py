@@ -204,6 +204,44 @@ ABBREVIATED = [
 ]
 
 
+PROSE = ["The old museum near the river was cleaned by two officials late at night because the council had sold the other one before noon.", "Nobody in the town of Orl saw the long report that Ann wrote about the harbor and the mill last week.", "It was lost."]
+PROSE_ZH = ["昨天他在城里的旧博物馆里看见了两位官员和一座很长的木桥因为市政府在中午之前已经把另外一座卖掉了。", "没有人在镇上读过安娜上个星期写的关于港口和磨坊的那份很长的报告。", "晚上他走了。"]
+
+
+@pytest.mark.parametrize("width", [40, 70, 120])
+@pytest.mark.parametrize("extra", ["", "ประตู ", "門 "])
+def test_wrapped_prose(width, extra):
+    import textwrap
+
+    parts = [extra + PROSE[0], *PROSE[1:], *PROSE]
+    wrapped = textwrap.fill(" ".join(parts), width)
+    assert [wrapped[a:b].replace("\n", " ") for a, b in sentences.split(wrapped)] == parts
+
+
+def test_wrapped_prose_with_a_longer_line():
+    import textwrap
+
+    lines = textwrap.wrap(" ".join(PROSE * 3), 60)
+    lines[4] += " " + lines.pop(5)[:30].rsplit(" ", 1)[0]
+    wrapped = "\n".join(lines)
+    got = [wrapped[a:b].replace("\n", " ") for a, b in sentences.split(wrapped)]
+    assert len(got) == 9 and got[:2] == PROSE[:2] and got[-3:] == PROSE
+
+
+def test_wrapped_ideographs_and_thai():
+    text = "".join(PROSE_ZH * 2)
+    wrapped = "\n".join(text[i : i + 20] for i in range(0, len(text), 20))
+    assert [wrapped[a:b].replace("\n", "") for a, b in sentences.split(wrapped)] == PROSE_ZH * 2
+    th = "เมื่อวานโมเดชูซื้อสวนใหญ่กับเพื่อนใกล้ตลาดเก่าโดยไม่มีโคมไฟใหม่ที่สะพานใหญ่ใกล้ประตูสีเขียว" * 3
+    wrapped = "\n".join(th[i : i + 44] for i in range(0, len(th), 44))
+    assert len(sentences.split(wrapped)) == 1
+
+
+@pytest.mark.parametrize("text", ["roses are red\nviolets are blue\nsugar is sweet\nand so are you", "床前明月光，\n疑是地上霜。\n举头望明月，\n低头思故乡。", "buy milk\ncall the bank\nwrite to Ann about the mill\nsleep", "ประตูสีเขียว\nสวนใหญ่\nจดหมายเก่าที่ตลาด"])
+def test_short_lines_stay(text):
+    assert [text[a:b] for a, b in sentences.split(text)] == text.split("\n")
+
+
 @pytest.mark.parametrize("parts", ABBREVIATED)
 def test_abbreviations_may_end(parts):
     text = " ".join(parts)
