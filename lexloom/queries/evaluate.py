@@ -215,16 +215,16 @@ def metric_pivot(s, d):
 
 
 def trie_beam(s, d):
-    """Beam search over the vocabulary's words in pieces of two letters; a step onto a node is scored by the piece's
-    share of its siblings. Every case has its own start piece from its source."""
+    """Beam search for every case with scores, over the vocabulary's words in pieces of two letters; a step onto a node is
+    scored by the node's share among its siblings, of the case's scores of the words below. Scores of 0 open no path; a
+    word on the way to a scored one is found too."""
     v = table(s, d, "vocabulary")
     words = v.select("word", F.expr("transform(sequence(0, (length(word) - 1) div 2), i -> substring(word, i * 2 + 1, 2))").alias("token_path"))
     nodes = cut(trie.trie(words), "nodes")
-    kids = nodes.groupBy("parent").agg(F.count("*").alias("n"))
-    cases = s.createDataFrame([("blogs",), ("news",), ("twitter",)], "case_id string")
-    # a few cases share one trie: edges are written out per case
-    edges = nodes.join(kids, "parent").select("path", F.explode(F.array(F.lit("blogs"), F.lit("news"), F.lit("twitter"))).alias("case_id"), "n", "token")
-    edges = edges.join(cases, "case_id").select("case_id", "path", (-F.log(F.col("n") + F.pmod(F.ascii("token") + F.length("case_id"), F.lit(7)))).alias("logp"))
+    paths = words.where(F.size("token_path").between(2, 6)).select("word", F.explode(F.expr("transform(sequence(1, size(token_path)), k -> slice(token_path, 1, k))")).alias("path"))
+    below = scores(s, d).where("case_id is not null and score > 0").join(paths, "word").groupBy("case_id", "path").agg(F.sum("score").alias("mass"))
+    share = F.expr("mass / sum(mass) over (partition by case_id, slice(path, 1, size(path) - 1))")
+    edges = cut(below.withColumn("logp", F.log(share)).select("case_id", "path", "logp"), "edges")
     out = trie.beam_search(nodes, edges, 16)
     return out.select("case_id", "word", F.round("score", 6).alias("score"), "rank")
 

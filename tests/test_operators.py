@@ -233,3 +233,25 @@ def test_trie(spark):
     assert got == [("the", -0.3, 1), ("there", -0.7, 2)]
     with pytest.raises(Exception, match="share a token path"):
         trie.trie(spark.createDataFrame([("x", ["a", "b"]), ("y", ["a", "b"])], "word string, token_path array<string>")).collect()
+
+
+def test_trie_beam_of_every_case(spark, tmp_path):
+    """Every case with scores has its words, scored by shares of its own scores."""
+    import math
+
+    from lexloom.queries.evaluate import trie_beam
+
+    vocab = ["reader", "reads", "ready", "riding", "in"]
+    rows = {7: {"reader": 0.2, "reads": 0.1, "riding": 0.1}, 8: {"ready": 0.5}, 9: {"in": 0.4}, 10: {"reads": 0.0, "ready": 0.3, "riding": 0.3}}
+    spark.createDataFrame(list(enumerate(vocab)), "word_id int, word string").write.parquet(f"{tmp_path}/vocabulary.parquet")
+    spark.createDataFrame([(c, vocab.index(w), p) for c, ws in rows.items() for w, p in ws.items()] + [(11, 0, None)], "case_id bigint, word_id int, cpu_probability double").write.parquet(f"{tmp_path}/candidate_scores.parquet")
+    want = {}
+    for c, ws in rows.items():
+        ws = {w: p for w, p in ws.items() if p > 0 and len(w) > 2}
+        for w in ws:
+            cuts = [w[:k] for k in range(0, len(w), 2)] + [w]
+            mass = [sum(p for x, p in ws.items() if x.startswith(k) and len(x) >= len(k)) for k in cuts]
+            below = [sum(p for x, p in ws.items() if x.startswith(k) and len(x) > len(k)) for k in cuts]
+            want[c, w] = round(sum(math.log(m / b) for m, b in zip(mass[1:], below[:-1], strict=True)), 6)
+    got = {(r.case_id, r.word): r.score for r in trie_beam(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want)
