@@ -261,7 +261,8 @@ def _ends(text: str, a: int, b: int) -> list[int]:
     for i, mark in marks:
         if i < skip:
             continue
-        start = _BLANK.match(text, start, i).end()
+        if start < i:
+            start = _BLANK.match(text, start, i).end()
         if i in pairs:  # nothing ends inside quotations and brackets
             j = pairs[i]
             inner = text[i + 1 : j].rstrip()
