@@ -35,6 +35,10 @@ def p4_restored(spark, d):
     return encoding.restored(table(spark, d, "development"))
 
 
+def p4_evidence(spark, d):
+    return encoding.evidence(table(spark, d, "development"))
+
+
 def p5_found(spark, d):
     return abuse.abusive(table(spark, d, "development"), table(spark, d, "toxicity_labels"))
 
@@ -67,7 +71,7 @@ def p8_found(spark, d):
     return sentences.sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_collapsed, p3_found, p4_found, p4_restored, p5_found, p5_scores, p5_rates, p6_found, p6_report, p7_mixture, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_collapsed, p3_found, p4_found, p4_restored, p4_evidence, p5_found, p5_scores, p5_rates, p6_found, p6_report, p7_mixture, p7_shares, p8_found)}
 
 _WORDS = "regexp_extract_all(lower(translate({0}, '''’', '')), '[\\p{{L}}\\p{{N}}]+')"
 

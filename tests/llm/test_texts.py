@@ -57,6 +57,26 @@ def test_garbled_blanks(spark):
     assert {r.case_id: r.restored for r in encoding.restored(dev(spark, rows + clean)).collect()} == truth
 
 
+def test_usual_words_stay(spark, garbled_rows):
+    """Words that have the usual run of their slot are right, whatever frame or word a transformation makes of them."""
+    rows, _ = garbled_rows
+    clean = [(6000 + i, t) for i in range(10) for t in ("el jardín del país", "cállate ya", "Ö är en bokstav och Ö är en ö")]
+    clean = [(6000 + k, t) for k, (_, t) in enumerate(clean)] + [(6500, "un delfín feliz"), (6501, "pálido y frío")]
+    found = {r.case_id for r in encoding.garbled(dev(spark, rows + clean)).collect()}
+    assert not found & {i for i, _ in clean}
+
+
+def test_tokens_are_restored_one_by_one(spark, garbled_rows):
+    """A garbled token that is a part of a clean word leaves that word alone."""
+    rows, _ = garbled_rows
+    dashes = [(7000 + i, f"one — two {i}") for i in range(40)] + [(7100 + i, f"one ó two {i}") for i in range(6)]
+    both = [(7200, "the canal ó it was old and the habitación was small")]
+    got = {r.case_id: r.restored for r in encoding.restored(dev(spark, rows + dashes + both)).collect()}
+    assert got[7200] == "the canal — it was old and the habitación was small"
+    kinds = {r.kind: r.cases for r in encoding.evidence(dev(spark, rows + dashes + both + [(7300, "\ufffd")])).collect()}
+    assert kinds["twin"] > 100 and kinds["mark"] >= 1 and set(kinds) <= {"twin", "learned", "scripts", "mark", "prior"}
+
+
 def test_no_garbled_rows(spark):
     assert encoding.garbled(dev(spark, [(1, "a"), (2, None)])).count() == 0
     assert encoding.restored(dev(spark, [(1, "a")]).limit(0)).count() == 0
