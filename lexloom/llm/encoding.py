@@ -228,7 +228,7 @@ def garbled_tokens(df: DataFrame, id: str = "case_id", text: str = "prefix") ->
     framed &= F.col("nf1") >= SUPPORT
     rest = rest.withColumn("inner", F.when(framed & F.col("token").rlike(r"[A-Za-z][^\x00-\x7F]+[A-Za-z]"), F.split(F.regexp_replace(F.lower("restored"), "’[a-z]{1,2}(?![a-z])", ""), "[^a-z]+")))
     parts = rest.select("token", "restored", F.explode("inner").alias("w")).where("w <> ''")
-    spelled = rows_of_words(df, text).join(parts.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("n")).where(f"n >= {SUPPORT}")
+    spelled = rows_of_words(df, text).groupBy("w").agg(F.count("*").alias("n")).where(f"n >= {SUPPORT}")
     strange = parts.join(spelled, "w", "left_anti").select("token", "restored").distinct()
     rest = rest.join(strange.withColumn("strange", F.lit(True)), ["token", "restored"], "left")
     score = F.greatest(F.when(F.col("nw1") >= SUPPORT, F.col("nw1") / F.greatest("nw0", F.lit(1))), F.when(framed & F.col("strange").isNull(), F.col("nf1") / F.greatest("nf0", F.lit(1))))
