@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import words
-from lexloom.llm.overlap import FILTER_BITS, key_filter
 from lexloom.session import cut, small
 
 #: Words of a shingle, and consecutive words that make a leak.
@@ -22,6 +21,19 @@ _DDL = "h bigint, id bigint, at int, near array<bigint>"
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Bits of the filter of item shingles, two megabytes however many there are; the more shingles, the less it leaves out.
+FILTER_BITS = 1 << 24
+
+
+def key_filter(posts: DataFrame) -> np.ndarray:
+    """A bit for each hashed key of ``posts``, packed by 64: what has no bit is no key."""
+    h = posts.select(F.expr(f"key & {FILTER_BITS - 1}").alias("h"))
+    got = h.groupBy(F.expr("cast(shiftright(h, 6) as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS >> 6, np.int64)
+    out[got.column("w").to_numpy()] = got.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
 def sequence(text: Column) -> Column:
     """64-bit ids of a text's words in order."""
     return F.transform(words(text), lambda w: F.xxhash64(w))

@@ -15,6 +15,10 @@ def p1_report(spark, d):
     return overlap.overlap_report(dev, p1_found(spark, d))
 
 
+def p1_links(spark, d):
+    return overlap.line_links(table(spark, d, "development"), table(spark, d, "training_lines"))
+
+
 def p2_found(spark, d):
     return copies.superfluous(table(spark, d, "development"))
 
@@ -27,6 +31,10 @@ def p3_found(spark, d):
     return overlap.near_pairs(table(spark, d, "development"))
 
 
+def p3_links(spark, d):
+    return overlap.near_links(table(spark, d, "development"))
+
+
 def p4_found(spark, d):
     return encoding.garbled(table(spark, d, "development"))
 
@@ -71,7 +79,7 @@ def p8_found(spark, d):
     return sentences.sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_collapsed, p3_found, p4_found, p4_restored, p4_evidence, p5_found, p5_scores, p5_rates, p6_found, p6_report, p7_mixture, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_links, p2_found, p2_collapsed, p3_found, p3_links, p4_found, p4_restored, p4_evidence, p5_found, p5_scores, p5_rates, p6_found, p6_report, p7_mixture, p7_shares, p8_found)}
 
 _WORDS = "regexp_extract_all(lower(translate({0}, '''’', '')), '[\\p{{L}}\\p{{N}}]+')"
 
@@ -90,6 +98,17 @@ union
 select case_id, line_id from development d join training_lines t on lower(d.line_hash) = lower(t.line_hash)
 """
 
+_P1_LINKS = f"""
+with b as (select case_id, list_sort({_WORDS.format("prefix")}) as ws from development where prefix is not null),
+rep as (select case_id, min(case_id) over (partition by ws) as class_id from b where len(ws) >= 12),
+x as ({_bag("development", "case_id", "prefix", 12)}), y as ({_bag("training_lines", "line_id", "text", 1)}),
+near as (select x.id as case_id, y.id as line_id from x join y on x.w = y.w and x.k = y.k group by x.id, y.id having 5 * count(*) >= 4 * any_value(x.n)),
+w as (select case_id, count(*) as by_words from near group by case_id),
+h as (select case_id, count(line_id) as by_hash from development d left join training_lines t on lower(d.line_hash) = lower(t.line_hash) where d.line_hash is not null group by case_id)
+select case_id, coalesce(class_id, case_id) as class_id, coalesce(by_hash, 0) as by_hash, coalesce(by_words, 0) as by_words
+from development left join rep using (case_id) left join w using (case_id) left join h using (case_id) where class_id is not null or line_hash is not null
+"""
+
 _LETTERS = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 _NAMES = "(?:topic|mood|place|body)"
 # a record's fields, one by one: a name and what follows it up to the next name or the end
@@ -109,6 +128,11 @@ with x as ({_bag("development", "case_id", "prefix", 12)}), c as ({_CONTENT}),
 near as (select a.id as case_a, b.id as case_b from x a join x b on a.w = b.w and a.k = b.k and a.id < b.id group by a.id, b.id having 5 * count(*) >= 4 * greatest(any_value(a.n), any_value(b.n)))
 select case_a, case_b from near join c p on p.case_id = case_a join c q on q.case_id = case_b where p.k <> q.k
 """
+_P3_LINKS = f"""
+with f as ({_P3.strip()}), n as (select id, count(*) as links from (select case_a as id from f union all select case_b from f) group by id),
+c as ({_CONTENT}), b as (select case_id, list_sort({_WORDS.format("prefix")}) as ws from development where prefix is not null)
+select case_id, min(case_id) over (partition by k, ws) as class_id, coalesce(links, 0) as links from b join c using (case_id) left join n on n.id = case_id where len(ws) >= 12
+"""
 _SOURCE = "coalesce(lower(trim(source)), '')"
 _P1_REPORT = f"""
 with n as (select case_id, count(*) as n from ({_P1}) group by case_id)
@@ -123,4 +147,4 @@ select distinct d.id as doc_id, i.id as item_id from d join i using (run)
 """
 _P6_REPORT = f"with n as (select item_id, count(*) as n from ({_P6}) group by item_id) select item_id, reserve_role, coalesce(n, 0) as documents from holdout_items left join n using (item_id)"
 
-ORACLE = {"p1_found": _P1, "p1_report": _P1_REPORT, "p2_found": _P2, "p2_collapsed": _P2_COLLAPSED, "p3_found": _P3, "p6_found": _P6, "p6_report": _P6_REPORT}
+ORACLE = {"p1_found": _P1, "p1_report": _P1_REPORT, "p1_links": _P1_LINKS, "p2_found": _P2, "p2_collapsed": _P2_COLLAPSED, "p3_found": _P3, "p3_links": _P3_LINKS, "p6_found": _P6, "p6_report": _P6_REPORT}

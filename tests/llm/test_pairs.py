@@ -1,7 +1,10 @@
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexloom.llm import copies, leaks, overlap
@@ -60,11 +63,18 @@ def test_near_pairs_against_brute_force(spark, texts):
     own = [(i, t) for i, t in texts if i is not None and t]
     want = sorted((i, j) for i, a in own for j, b in own if i < j and near(a, b) and content(a) != content(b))
     assert got == want and len(want) > 50
-
-
-@pytest.mark.parametrize(("frequent", "many"), [(1 << 16, 256), (5, 256), (5, 6), (-1, 256)])
-def test_shared_lines_against_brute_force(spark, texts, monkeypatch, frequent, many):
-    monkeypatch.setattr(overlap, "FREQUENT", frequent)
+    links = {r.case_id: r for r in overlap.near_links(cases(spark, texts)).collect()}
+    both = Counter(i for p in want for i in p)
+    assert {i: r.links for i, r in links.items()} == {i: both[i] for i, t in own if len(words(t)) >= 12}
+    same = {(content(t), tuple(sorted(words(t)))): [] for _, t in own}
+    for i, t in own:
+        same[content(t), tuple(sorted(words(t)))].append(i)
+    assert all(links[i].class_id == min(m) for m in same.values() for i in m if i in links)
+
+
+@pytest.mark.parametrize(("spread", "many"), [(1 << 20, 256), (5, 256), (5, 6), (1 << 20, 30)])
+def test_shared_lines_against_brute_force(spark, texts, monkeypatch, spread, many):
+    monkeypatch.setattr(overlap, "SPREAD", spread)
     monkeypatch.setattr(overlap, "MANY", many)
     rng = random.Random(6)
     lines = [(i, " ".join(words(t or "") + [f"tail{rng.randrange(99)}" for _ in range(rng.randrange(30))])) for i, t in texts[::2] if i is not None] + [(5000, None), (5001, "")]
@@ -80,6 +90,28 @@ def test_shared_lines_against_brute_force(spark, texts, monkeypatch, frequent, m
             if i is not None and (h and hashes.get(i) and h.lower() == hashes[i].lower() or n >= 12 and 5 * sum((x & y).values()) >= 4 * n):
                 want.add((i, j))
     assert got == sorted(want) and len(want) > 60
+    if (spread, many) == (5, 6):
+        return
+    links = {r.case_id: r for r in overlap.line_links(cases(spark, texts, hashes), line_df).collect()}
+    for i, t in texts:
+        x = Counter(words(t or ""))
+        n = sum(x.values())
+        if i is None or n < 12 and not hashes.get(i):
+            assert i not in links
+            continue
+        assert links[i].by_hash == sum(bool(h and hashes.get(i)) and h.lower() == hashes[i].lower() for _, _, h, _ in line_rows)
+        assert links[i].by_words == sum(n >= 12 and 5 * sum((x & Counter(words(u or ""))).values()) >= 4 * n for _, u, _, _ in line_rows)
+
+
+def test_postings_grow_with_words_only():
+    """A line of n words gives n - 9 postings, however frequent its words are in a larger table."""
+    rng = np.random.default_rng(1)
+    bags = pa.array([np.sort(rng.integers(0, 2000, 27)) for _ in range(300)], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(300)), bags], names=["id", "bag"])
+    counts = np.bincount(bags.flatten().to_numpy() & (overlap.BUCKETS - 1), minlength=overlap.BUCKETS)
+    for times in (1, 10, 100, 10_000):
+        got = [b.num_rows for b in overlap._line_posts(SimpleNamespace(value=counts * times))([batch])]
+        assert sum(got) == 300 * 18
 
 
 def test_a_third_in_one_class(spark):
@@ -138,5 +170,5 @@ def test_empty_tables(spark):
     lines = spark.createDataFrame([], "line_id bigint, text string, line_hash string")
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     items = spark.createDataFrame([], "item_id bigint, text string, reserve_role string")
-    for df in (overlap.near_pairs(none), overlap.shared_lines(none, lines), copies.superfluous(none), copies.collapsed(none), leaks.leaks(docs, items)):
+    for df in (overlap.near_pairs(none), overlap.near_links(none), overlap.shared_lines(none, lines), overlap.line_links(none, lines), copies.superfluous(none), copies.collapsed(none), leaks.leaks(docs, items)):
         assert df.count() == 0
