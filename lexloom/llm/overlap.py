@@ -22,7 +22,7 @@ MANY = 256
 #: Occurrences of a word behind one join key; a more frequent word is spread over as many keys as that takes.
 SPREAD = 1 << 20
 #: Words of all bags behind one partition of a join, and the most partitions of one.
-TASK_WORDS, MOST_PARTITIONS = 500_000, 1 << 16
+TASK_WORDS, MOST_PARTITIONS = 250_000, 1 << 16
 MIN_WORDS = 12
 #: Words that a line must share with a case at least.
 LEAST = (4 * MIN_WORDS + 4) // 5
@@ -229,11 +229,13 @@ def _checked(shares):
     return run
 
 
-def bags(df: DataFrame, id: str, text: str, content: bool) -> DataFrame:
-    """(id, bag, w, c): word ids of each text, a hash of the bag and one of the content; null ids and texts are left out."""
-    out = df.where(F.col(id).isNotNull() & F.col(text).isNotNull())
+def bags(df: DataFrame, id: str, text: str, least: int, content: bool) -> DataFrame:
+    """(id, bag, c, w, w2): word ids of each text of ``least`` words or more, a hash of the content and two of the bag; null
+    ids and texts are left out. Written once: the words of a text are not sought again by counts, classes and members."""
+    rows = df.where(F.col(id).isNotNull() & F.col(text).isNotNull())
     c = F.xxhash64(content_key(F.col(text))) if content else F.lit(0).cast("bigint")
-    return out.select(F.col(id).cast("bigint").alias("id"), word_ids(F.col(text)).alias("bag"), c.alias("c"))
+    rows = rows.select(F.col(id).cast("bigint").alias("id"), word_ids(F.col(text)).alias("bag"), c.alias("c")).where(F.size("bag") >= least)
+    return cut(rows.withColumn("w", F.xxhash64("bag")).withColumn("w2", F.xxhash64(F.lit(7), "bag")), "bags")
 
 
 def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -241,9 +243,8 @@ def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Returns (rep, bag, c) of the classes and (id, rep) of the rows; a class of any size stays one row in the joins.
     """
-    keyed = rows.withColumn("w", F.xxhash64("bag")).withColumn("w2", F.xxhash64(F.lit(7), "bag"))
-    one = keyed.groupBy("c", "w", "w2").agg(F.min("id").alias("rep"), F.first("bag").alias("bag"))
-    members = keyed.select("id", "c", "w", "w2").join(one.select("c", "w", "w2", "rep"), ["c", "w", "w2"]).select("id", "rep")
+    one = cut(rows.groupBy("c", "w", "w2").agg(F.min("id").alias("rep"), F.first("bag").alias("bag")), "classes")
+    members = rows.select("id", "c", "w", "w2").join(one.select("c", "w", "w2", "rep"), ["c", "w", "w2"]).select("id", "rep")
     return one.select("rep", "bag", "c"), members
 
 
@@ -269,7 +270,7 @@ def near_classes(df: DataFrame, id: str = "case_id", text: str = "prefix") -> tu
     signatures of what is left; each distinct pair is then checked once on whole bags.
     """
     spark = df.sparkSession
-    rows = bags(df, id, text, True).where(F.size("bag") >= MIN_WORDS)
+    rows = bags(df, id, text, MIN_WORDS, True)
     one, members = classes(rows)
     counts = spark.sparkContext.broadcast(word_counts(spark, rows))
     # every partition of the join gets a like share of the words, and the sizes and positions travel in one number
@@ -318,8 +319,8 @@ def shared_classes(cases: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataF
     a hash table of the cases' pairs, so that what is shuffled grows with the words and what is compared with the pairs.
     """
     spark = cases.sparkSession
-    x_rows = bags(cases, "case_id", "prefix", False).where(F.size("bag") >= MIN_WORDS)
-    y_rows = bags(lines, "line_id", "text", False).where(F.size("bag") >= LEAST)
+    x_rows = bags(cases, "case_id", "prefix", MIN_WORDS, False)
+    y_rows = bags(lines, "line_id", "text", LEAST, False)
     (x, x_members), (y, y_members) = classes(x_rows), classes(y_rows)
     counts = spark.sparkContext.broadcast(word_counts(spark, x_rows, y_rows))
     n = tasks(spark, counts.value)
