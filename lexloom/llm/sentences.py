@@ -1,4 +1,5 @@
-"""Sentences of documents in spaced and spaceless scripts, as code point offsets."""
+"""Sentences of documents in spaced and spaceless scripts, as code point offsets: every terminator or blank that may end
+one is a node with two readings, what stands around it tells for and against an end, and the best path is taken."""
 
 from __future__ import annotations
 
@@ -9,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lexloom.llm.lattice import BEFORE, SPACELESS, Lexicon, Node, best_ends, learn, script
+
 #: Abbreviations that seldom end a sentence: titles, references, "that is", units that a number or name follows.
 NEVER = frozenset(
     "mr mrs ms dr prof capt lt col gen sgt rev hon st mt no nos fig figs vol vols ch chap p pp sec eq ed eds cf vs viz al approx incl excl ca i.e e.g inc co u.s u.k dept est "
@@ -40,7 +43,7 @@ _SURNAME = frozenset("le la les der die den dem das de el los las da so no in on
 #: Abbreviations that end one if what follows looks like an opening.
 MAY = frozenset("a.m p.m corp ltd jr etc usw ph.d m.d b.a coop plc etc коп uhr".split())
 #: Words that never open a sentence, so that a mark before them is part of a name or an aside.
-GOES_ON = frozenset("airs and or of said says asked shouted replied whispered cried added that which who if fragte sagte rief dit demanda répondit preguntó dijo vroeg zei riep спросил сказал ответил".split())
+GOES_ON = frozenset("and or of said says asked shouted replied whispered cried added that which who if fragte sagte rief dit demanda répondit preguntó dijo vroeg zei riep спросил сказал ответил".split())
 SPEECH = frozenset(
     "said says asked asks shouted shouts replied whispered cried added answered yelled muttered "
     "fragte sagte rief antwortete meinte dit demanda répondit cria ajouta preguntó dijo respondió gritó añadió vroeg zei riep antwoordde "
@@ -49,51 +52,31 @@ SPEECH = frozenset(
 _MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember jänner".split())
 _BEFORE_DAY = frozenset("am vom zum den der dem im bis ab seit".split())
 
-_EMOJI = "[\U0001f000-\U0001faff☀-➿⭐⭕️‍\U0001f3fb-\U0001f3ff]"
+#: Common words that a single letter follows as a name: "plan B".
+LETTERED = frozenset("plan vitamin type class group hepatitis section option part point grade team exhibit figure appendix room version block gate level planet".split())
+
+_EMOJI = "[\U0001f000-\U0001faff☀-➿⭐⭕️\u200d\U0001f3fb-\U0001f3ff]"
 _SMILE = r"(?:[:;=8][-^o]?[)(\]\[DdPp3]+|<3|\^\^)(?!\w)"
-#: Characters around a quotation that are looked at: names and a verb of speech fit in.
-_NEAR = 200
 #: What may follow a final mark and belongs to it.
 _TAIL = re.compile(rf"(?:[\s]*(?:{_EMOJI}|{_SMILE}))+")
 _MARK = re.compile(r"[.!?…。！？؟।॥｡．‼⁇⁈⁉۔]+|[“”„«»‘’‚‹›\"'()\[\]（）【】「」『』《》]")
+_STOPS = frozenset(".!?…。！？؟।॥｡．‼⁇⁈⁉۔")
 _WIDE = frozenset("。！？｡．")
 _CLOSES = {"“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‚": "‘’", "‹": "›", '"': '"', "'": "'", "(": ")", "[": "]", "（": "）", "【": "】", "「": "」", "『": "』", "《": "》"}
+_OPENS = {c: tuple(o for o, closing in _CLOSES.items() if c in closing) for c in "".join(_CLOSES.values())}
 _BRACKETS = frozenset("([（【")
 _ITEM = re.compile(r"\s*(?:[-*•‣▪·–—+]\s+|\(?\d{1,3}[.)]\s+|\(?[a-z]\)\s+)")
-_MESSAGE = re.compile(r"@\w|(?i:rt|omg|via|who|can['’]t)\b|[A-Z]\w{0,15}: ")
-_SPACELESS = re.compile(r"[฀-๿຀-໿က-႟ក-៿]")
+_MESSAGE = re.compile(r"[@#]\w|(?i:rt) @|[A-Z]\w{0,15}: ")
+_TAGGED = re.compile(r"[@#]\w+[.!?…]*|https?://\S+")
+_SPACELESS = re.compile(f"[{SPACELESS}]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 _WIDE_MARK = re.compile("[\u3000-\u303f\uff01-\uff60]")
 _BLANK = re.compile(r"\s*")
+_BARE = re.compile(r"[\s\-—–*•]*")
+_ANY = re.compile(r"[^\W_]")
+_SHORT, _INITIAL, _DAY = re.compile(r"(?:[^\W\d_]\.)*[^\W\d_]"), re.compile(r"[^\W\d_]\."), re.compile(r"\d{1,2}")
 _LINE = re.compile(r"[^\n\r  \x0b\x0c]+")
 
-#: Dictionary of the spaceless lattice: words that open sentences, predicates, and words that a gap cannot follow or precede.
-OPENERS = frozenset("ตอนเช้า ตอนเย็น ตอนบ่าย ตอนกลางคืน ตอน เมื่อวาน เมื่อวานนี้ วันนี้ พรุ่งนี้ สัปดาห์ที่แล้ว เดือนที่แล้ว ปีที่แล้ว หลังอาหารกลางวัน หลังจาก ก่อน ดร. นาย นาง นางสาว แต่ และ เพราะ ถ้า เมื่อ".split())
-PREDICATES = frozenset("ซื้อ ขาย เปิด ปิด พบ เห็น วาด ซ่อม อ่าน เขียน ไป มา กิน ทำ เป็น มี อยู่ พูด บอก ถาม ให้ ได้ ส่ง ถือ".split())
-FINALS = frozenset("บาท ครับ ค่ะ คะ นะ แล้ว ไหม หรือ จ้ะ จ้า เลย ด้วย".split())
-TITLES = frozenset("ดร. นาย นาง นางสาว คุณ".split())
-NOUNS = frozenset("จดหมาย ภาพวาด ประตู สีเขียว สวน ใหญ่ โคมไฟ ใหม่ สะพาน เก่า ตั๋ว กาน้ำชา หนังสือ ตลาด เพื่อ กับ โดย ไม่มี ที่ ใกล้ ราคา".split())
-_DICTIONARY = OPENERS | PREDICATES | FINALS | TITLES | NOUNS
-_LONGEST = max(map(len, _DICTIONARY))
-
-
-def lattice(piece: str) -> tuple[str, ...]:
-    """The cheapest path through the word lattice of ``piece``: 1 for a dictionary word, 1 and a bit per unknown character."""
-    n = len(piece)
-    cost, back = [0.0] + [1e9] * n, [0] * (n + 1)
-    for i in range(n):
-        if cost[i] + 1.2 < cost[i + 1]:
-            cost[i + 1], back[i + 1] = cost[i] + 1.2, i
-        for j in range(i + 2, min(n, i + _LONGEST) + 1):
-            if cost[i] + 1 < cost[j] and piece[i:j] in _DICTIONARY:
-                cost[j], back[j] = cost[i] + 1, i
-    words, j = [], n
-    while j:
-        words.append(piece[back[j] : j])
-        j = back[j]
-    return tuple(reversed(words))
-
-
 def _lines(text: str) -> list[tuple[int, int]]:
     """Lines with non-blank characters."""
     return [(m.start(), m.end()) for m in _LINE.finditer(text) if not m.group().isspace()]
@@ -113,7 +96,8 @@ def _wraps(text: str, lines: list[tuple[int, int]], breaks: list[int], lens: lis
         if _ITEM.match(nxt):
             continue
         plain += 1
-        messages += bool(_MESSAGE.match(nxt))
+        message = bool(_MESSAGE.match(nxt) or _TAGGED.fullmatch(text[a:b].rsplit(None, 1)[-1]))
+        messages += message
         last = text[a:b].rstrip()[-1]
         word = nxt.split(None, 1)[0]
         if _CJK.match(last) or _WIDE_MARK.match(last) or _CJK.match(nxt):
@@ -128,7 +112,7 @@ def _wraps(text: str, lines: list[tuple[int, int]], breaks: list[int], lens: lis
             if last not in ".!?…:”»\")']।؟。！？：」』":
                 inside += 1
                 wide += dense
-                lower += not dense and nxt[0].islower() and not _MESSAGE.match(nxt)
+                lower += not dense and nxt[0].islower() and not message
     if not forced or forced < 0.8 * plain or messages > 0.3 * plain:
         return set()
     if width < 50 or wide > 0.5 * inside:  # short lines, or no small letters, tell less
@@ -163,53 +147,65 @@ def _pairs(text: str, a: int, b: int, marks: list[tuple[int, str]]) -> dict[int,
     """For each opening quote or bracket of a block, its closing one. What is never closed opens nothing."""
     pairs: dict[int, int] = {}
     stack: list[tuple[int, str]] = []
+    at: dict[str, list[int]] = {}  # where each kind of opening mark stands on the stack
     for i, ch in marks:
         before, after = text[i - 1] if i > a else " ", text[i + 1] if i + 1 < b else " "
-        k = next((k for k in range(len(stack) - 1, -1, -1) if ch in _CLOSES[stack[k][1]]), None)
+        k = max((at[o][-1] for o in _OPENS.get(ch, ()) if at.get(o)), default=None)
         if k is not None and ch in "'’\"":
             # an apostrophe is no closing quote, nor is a mark that opens a word
             if (ch != '"' and after.isalnum() and not _CJK.match(after)) or before.isspace() and not after.isspace() and ch != "’":
                 k = None
         if k is not None:
             pairs[stack[k][0]] = i
-            del stack[k:]
+            while len(stack) > k:
+                at[stack.pop()[1]].pop()
             continue
         if ch in "'‘\"" and not ((before.isspace() or before in "([—–-:,“«") and not after.isspace()):
             if ch != '"' or before.isalnum():
                 continue
         if ch == "»" or ch == "‘" and before.isalnum() or ch not in _CLOSES:
             continue
+        at.setdefault(ch, []).append(len(stack))
         stack.append((i, ch))
     return pairs
 
 
+_LEADING = "(\"'“„«‘[¿¡—–- "
+_CHUNK = re.compile(r"\S+")
+_TO_COMMA = re.compile("[^。！？…，、；：“「\n]*")
+
+
 def _token(text: str, a: int, i: int) -> tuple[str, int]:
-    """The chunk that ends before i, without opening marks."""
+    """The chunk that ends before i, in small letters and without opening marks, and where it starts."""
     s = i
     while s > a and not text[s - 1].isspace():
         s -= 1
-    chunk = text[s:i].lstrip("(\"'“„«‘[¿¡—-")
-    return chunk.lower(), s
+    return text[s:i].lstrip("(\"'“„«‘[¿¡—-").lower(), s
 
 
-def _attributed(rest: str) -> bool:
-    """Whether what follows a quotation attributes it."""
-    t = rest.lstrip()
-    if not t:
-        return False
-    if t[0] in ",;—–-" or t[0].islower():
-        if t[0] in "—–-":
-            u = t[1:].lstrip()
-            return not u or u[0].islower() or u.split()[0].lower() in SPEECH
+def _before(text: str, a: int, s: int) -> str:
+    """The chunk before the blanks that end at s."""
+    while s > a and text[s - 1].isspace():
+        s -= 1
+    return _token(text, a, s)[0]
+
+
+def _attributed(text: str, near: int, b: int) -> bool:
+    """Whether what follows a quotation, from its first word on, attributes it."""
+    first = text[near]
+    if first in ",;—–-" or first.islower():
+        if first in "—–-":
+            m = _CHUNK.search(text, near + 1, b)
+            return not m or m.group()[0].islower() or m.group().lower() in SPEECH
         return True
-    if t.startswith(("라고", "이라고", "고 ", "と", "って")):
+    if text.startswith(("라고", "이라고", "고 ", "と", "って"), near, b):
         return True
-    if _CJK.match(t):
-        head = re.split("[。！？，、；：“「\n]", t, maxsplit=1)[0]
-        return len(head) <= 14 and head.endswith(("说", "问", "道", "喊", "叫", "言った", "聞いた", "尋ねた"))
-    words = t.split(None, 5)[:5]
-    if "ने" in words[1:3] and len(words) > 2:
-        return words[words.index("ने") + 1].rstrip("।.!?") in ("पूछा", "कहा", "बताया", "बोला") if words.index("ने") + 1 < len(words) else False
+    if _CJK.match(first):
+        return _TO_COMMA.match(text, near, b).group().endswith(("说", "问", "道", "喊", "叫", "言った", "聞いた", "尋ねた"))
+    words = [m.group() for m, _ in zip(_CHUNK.finditer(text, near, b), range(5), strict=False)]
+    if "ने" in words[1:3]:
+        at = words.index("ने") + 1
+        return at < len(words) and words[at].rstrip("।.!?") in ("पूछा", "कहा", "बताया", "बोला")
     for w in words[:4]:
         bare = w.strip(".,!?;:").lower()
         if bare in SPEECH:
@@ -219,19 +215,25 @@ def _attributed(rest: str) -> bool:
     return False
 
 
-def _closes(token: str, led: bool, t: str, word: str) -> bool:
-    """Whether an abbreviation or letter ends a sentence before ``t``, of which ``word`` is the first word. ``led`` tells
-    that a letter with a full stop stands before the token."""
-    lead = t.lstrip("(\"'“„«‘[¿¡—–- ")
-    if token in FIRM or not lead[:1].isupper():
-        return False
-    word = word.lstrip("(\"'“„«‘[¿¡—–-")
-    if token in PLAIN and not (re.match(r"(?:[IVXLC]+|[A-Z])\b", lead) and word not in OPENING):
-        return True
-    if lead[len(word) : len(word) + 1] == "." and len(word) == 1:  # an initial
-        return False
-    short = len(token) == 1
-    return word in OPENING and not (short and (led or word in _SURNAME))
+def _abbreviation(token: str, led: bool, lettered: bool, lead: str) -> float:
+    """What an abbreviation or letter before a full stop takes from the reading that the sentence ends, and what follows
+    (``lead``, without opening marks) gives back. ``led`` tells that a letter with a full stop stands before the token,
+    ``lettered`` that the word before it takes letters as names."""
+    if token in FIRM:
+        return -6.0
+    word = re.match(r"[^\s,.!?;:]*", lead).group()
+    if not word[:1].isupper():
+        return -4.0
+    opening = word.lower() in OPENING
+    if token in PLAIN:
+        return -4.0 if re.match(r"(?:[IVXLC]+|[A-Z])\b", word) and not opening else -1.0
+    if len(word) == 1 and lead[1:2] == ".":  # an initial
+        return -4.0
+    if len(token) == 1:
+        if lettered:
+            return -1.0
+        return -1.0 if opening and not led and word.lower() not in _SURNAME else -3.0
+    return -1.0 if opening else -3.0
 
 
 def _cased(block: str) -> bool:
@@ -245,63 +247,72 @@ def _cased(block: str) -> bool:
     return odd * 4 < len(block.split())
 
 
-def _ends(text: str, a: int, b: int) -> list[int]:
-    """Ends of the sentences inside the block [a, b)."""
+def _nodes(text: str, a: int, b: int, lexicon: Lexicon) -> list[Node]:
+    """The terminators of the block [a, b) with what speaks for an end at each: above 0 it ends, below it goes on."""
     marks = [(m.start(), m.group()) for m in _MARK.finditer(text, a, b)]
     if not marks:
         return []
     pairs = _pairs(text, a, b, [m for m in marks if m[1] in _CLOSES or m[1] in "”’»)]）】」』》›"])
-    ends: list[int] = []
+    nodes: list[Node] = []
+    # where the next mark stands that may end a sentence
+    stops, stop = [b] * len(marks), b
+    for k in range(len(marks) - 1, -1, -1):
+        stops[k] = stop
+        i, mark = marks[k]
+        if mark[0] in _STOPS and (i + len(mark) >= b or not text[i + len(mark)].isalnum()):
+            stop = i
     cased = None
-    start = a
-    skip = a
+    start = a  # behind the last likely end
     item = _ITEM.match(text, a, b)
-    if item:
-        skip = item.end()
-    for i, mark in marks:
+    skip = item.end() if item else a
+
+    def add(end: int, score: float, only: int | None = None, other: float = 0.0) -> None:
+        nonlocal start
+        near = _BLANK.match(text, end, b).end()
+        nodes.append(Node(end, near, _BARE.match(text, near, b).end(), score, only, other))
+        if (other if only is not None and only != nodes[-2].bare and only != nodes[-2].start else score) > 0 if len(nodes) > 1 else score > 0:
+            start = near
+
+    for k, (i, mark) in enumerate(marks):
         if i < skip:
             continue
-        if start < i:
-            start = _BLANK.match(text, start, i).end()
         if i in pairs:  # nothing ends inside quotations and brackets
             j = pairs[i]
-            inner = text[i + 1 : j].rstrip()
             skip = j + 1
-            if not inner or inner[-1] not in ".!?…。！？؟।":
+            last = j - 1
+            while last > i and text[last].isspace():
+                last -= 1
+            if last <= i or text[last] not in ".!?…。！？؟।":
                 continue
-            opens = i - start < _NEAR and not text[start:i].strip(" \t\n\xa0-—–*•")
             end = j + 1
             while end < b and text[end] in "”’\"'»)」』":
                 end += 1
             tail = _TAIL.match(text, end, b)
             end = tail.end() if tail else end
-            if end >= b:
-                continue
             near = _BLANK.match(text, end, b).end()  # however far the next word is
-            rest = " " * (near > end) + text[near : min(b, near + _NEAR)]
+            if near >= b:
+                continue
+            first = text[near]
             if mark in _BRACKETS:
-                if opens and rest[:1].isspace():
-                    ends.append(end)
-                    start = end
+                add(end, 3.0 if near > end else -3.0, i, -3.0)
                 continue
-            if not rest[0].isspace() and not _CJK.match(rest) and rest[0] not in "“「『《（":
+            if near == end and not _CJK.match(first) and first not in "“「『《（":
                 continue
             before = i
             while before > start and text[before - 1].isspace():
                 before -= 1
-            lead = text[max(start, before - _NEAR) : before]
-            t = rest.lstrip()
             # a speaker's label introduces no quotation
-            introduced = lead.endswith((":", "：")) and len(lead.split()) > 1
-            if _attributed(rest) and not (introduced and t[0].isupper()):
+            introduced = before > start and text[before - 1] in ":：" and _token(text, start, before)[1] > start
+            if _attributed(text, near, b) and not (introduced and first.isupper()):
+                add(end, -4.0)
                 continue
-            if not opens and lead and lead[-1] not in ":,：，—–-" and not _CJK.match(t) and inner[-1] not in ".":
+            other = 3.0
+            if before > start and text[before - 1] not in ":,：，—–-" and not _CJK.match(first) and text[last] != ".":
                 if cased is None:
                     cased = _cased(text[a:b])
-                if t[:1].islower() or not cased:
-                    continue
-            ends.append(end)
-            start = end
+                if first.islower() or not cased:
+                    other = -3.0
+            add(end, 3.0, i, other)
             continue
         if mark[0] in _CLOSES or mark in "”’»)]）】」』》›":
             continue
@@ -314,77 +325,98 @@ def _ends(text: str, a: int, b: int) -> list[int]:
             continue
         nxt = text[end]
         if mark[0] in _WIDE or mark[0] in "…" and _CJK.match(nxt):
-            ends.append(end)
-            start = skip = end
+            add(end, 6.0)
+            skip = end
             continue
         if not nxt.isspace():
             if mark[-1] in "!?" and (nxt in "“「«„" or nxt.isupper() and text[i - 1].islower()) or mark[-1] in "।॥؟":
-                ends.append(end)
-                start = skip = end
+                add(end, 3.0)
+                skip = end
             continue
         near = _BLANK.match(text, end, b).end()
-        t = text[near : min(b, near + 60)]
-        if not t:
+        if near >= b:
             continue
         if cased is None:
             cased = _cased(text[a:b])
-        first = t.lstrip("(\"'“„«‘[¿¡—–- ")[:1]
-        word = re.split(r"[\s,.!?;:]", t, maxsplit=1)[0].lower()
-        telling = cased and not (len(t) > 30 and t.islower())  # what follows may be all in small letters
-        if word in GOES_ON:
-            continue
-        if t[0] in ",;:)»" or t[0] in "—–-" and first.islower():
-            continue
+        # what follows up to the next mark may be all in small letters
+        stop = max(stops[k], near)
+        following = text[near:stop]
+        telling = cased and not (following.islower() and len(following.split()) > 5)
+        lead = following.lstrip(_LEADING) or text[near : near + 1]
+        first = lead[:1]
+        word = re.match(r"[^\s,.!?;:]*", following).group().lower()
+        score = 2.0
+        if word in GOES_ON or text[near] in ",;:)»" or text[near] in "—–-" and first.islower():
+            score -= 6.0
         if mark == ".":
             token, s = _token(text, start, i)
-            if token in MAY or token == "h" and re.search(r"\d\s*$", text[start:s]):
-                if telling and first.islower():
-                    continue
-            elif token in NEVER or re.fullmatch(r"(?:[^\W\d_]\.)*[^\W\d_]", token) and not _CJK.match(token):
-                if not (telling and _closes(token, bool(re.search(r"(?:^|\s)[^\W\d_]\.\s*$", text[max(start, s - 8) : s])), t, word)):
-                    continue
-            elif re.fullmatch(r"\d{1,2}", token):
-                before = text[start:s].split()
-                if word in _MONTHS or before and before[-1].lower() in _BEFORE_DAY:
-                    continue
-        spaced = i > a and text[i - 1].isspace() and mark[0] in ".…" and len(mark) > 1 or mark == "…" and i > a and text[i - 1] == " "
+            if token in MAY or token == "h" and _before(text, start, s)[-1:].isdigit():
+                pass
+            elif token in NEVER or _SHORT.fullmatch(token) and not _CJK.match(token):
+                previous = _before(text, start, s)
+                whole = lead + text[stop : stop + 1]
+                score += _abbreviation(token, bool(_INITIAL.fullmatch(previous)), previous in LETTERED, whole) if telling else -4.0
+            elif _DAY.fullmatch(token) and (word in _MONTHS or _before(text, start, s) in _BEFORE_DAY):
+                score -= 6.0
+        spaced = i > a and text[i - 1].isspace() and mark[0] in ".…" and (len(mark) > 1 or mark == "…")
         if telling and first.islower() or spaced and (not telling or first.islower()):
+            score -= 6.0
+        add(end, score)
+        if score > 0:
+            skip = end
+    return nodes
+
+
+def _gaps(text: str, a: int, b: int, lexicon: Lexicon) -> list[Node]:
+    """The blanks of spaceless scripts, classified by the words on both sides."""
+    nodes = []
+    chunks = [m.span() for m in _CHUNK.finditer(text, a, b)]
+    behind = ""
+    titled = None  # where a title opens what stands before the gap, if nothing but a name follows it
+    for (p, i), (j, q) in zip(chunks, chunks[1:], strict=False):
+        left, right = text[p:i], text[j:q]
+        titled, opened = (p if left in BEFORE else None), titled
+        behind, before = left, behind
+        own = _SPACELESS.search(left) or _SPACELESS.search(right)
+        if not own or left[-1] in "，、；：,;:" or right[0] in "，、；：,;:)]）」』”’":
             continue
-        ends.append(end)
-        start = skip = end
-    return ends
-
-
-def _gaps(text: str, a: int, b: int) -> list[int]:
-    """Ends of sentences at the blanks of a spaceless script: the next word opens a sentence, and what stands before
-    holds a predicate or ends in a final particle."""
-    ends, start, seen, whole = [], a, a, False
-    for m in re.finditer(r"\s+", text[a:b]):
-        i, j = a + m.start(), a + m.end()
-        if not (i > start and j < b):
-            continue
-        chunk, right = text[seen:i].strip(), text[j : j + 40].split()[0]
-        seen = j
-        words = lattice(chunk) if _SPACELESS.search(chunk) else (chunk,)
-        whole = whole or any(w in PREDICATES for w in words)
-        if chunk in TITLES or not (whole or words[-1] in FINALS):
-            continue
-        opener = right in TITLES or lattice(right)[0] in OPENERS
-        if opener or not _SPACELESS.match(right) and words[-1] in FINALS:
-            ends.append(i)
-            start, whole = j, False
-    return ends
+        score = 1.0
+        if _SPACELESS.match(right):
+            score += lexicon.opening(right)
+        else:
+            score -= 3.0 if right[0].isdigit() else 1.2
+        if _SPACELESS.match(left[-1]) or left[-1] == ".":
+            score += lexicon.closing(left)
+        else:
+            score -= 2.0 if left[-1].isdigit() else 1.2
+        score += lexicon.carries.get(before, -2.0 * (before in BEFORE)) - 1.1 * ("\n" in text[i:j])
+        nodes.append(Node(i, j, j, score if opened is None else min(score, -3.0), opened, score, script(own.group())))
+    return nodes
+
+
+def _block_ends(text: str, a: int, b: int, lexicon: Lexicon) -> list[int]:
+    nodes = _nodes(text, a, b, lexicon)
+    if _SPACELESS.search(text, a, b):
+        own = {n.end for n in nodes}
+        nodes = sorted([*nodes, *(g for g in _gaps(text, a, b, lexicon) if g.end not in own)], key=lambda n: n.end)
+    if not nodes:
+        return []
+    start = _BLANK.match(text, a, b).end()
 
+    def short(u: int, v: int) -> float:
+        """A sentence without any letter or number is unlikely."""
+        return 0.0 if _ANY.search(text, u, v) else -2.5
 
-def split(text: str | None) -> list[tuple[int, int]]:
+    return best_ends(nodes, (start, _BARE.match(text, start, b).end()), b, short, lexicon)
+
+
+def split(text: str | None, lexicon: Lexicon = Lexicon()) -> list[tuple[int, int]]:  # noqa: B008
     """(start, end) of each sentence. Null and blank texts have none."""
     if not text:
         return []
     out = []
     for a, b in _blocks(text):
-        ends = _ends(text, a, b)
-        if _SPACELESS.search(text, a, b):
-            ends = sorted({*ends, *_gaps(text, a, b)})
+        ends = _block_ends(text, a, b, lexicon)
         for end in (*ends, b):
             while a < end and text[a].isspace():
                 a += 1
@@ -397,21 +429,28 @@ def split(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            found = [split(t) for t in part.column(1).to_pylist()]
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            spans = np.array([s for f in found for s in f], np.int32).reshape(-1, 2)
-            ids = pa.array(np.repeat(np.arange(len(found)), counts))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(ids), pa.array(spans[:, 0]), pa.array(spans[:, 1])], names=["doc_id", "start_char", "end_char"])
+def _run(lexicon):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = [split(t, lexicon.value) for t in part.column(1).to_pylist()]
+                counts = np.fromiter(map(len, found), np.int64, len(found))
+                spans = np.array([s for f in found for s in f], np.int32).reshape(-1, 2)
+                ids = pa.array(np.repeat(np.arange(len(found)), counts))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(ids), pa.array(spans[:, 0]), pa.array(spans[:, 1])], names=["doc_id", "start_char", "end_char"])
+
+    return run
 
 
-def sentences(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def sentences(df: DataFrame, id: str = "doc_id", text: str = "text", lexicon: Lexicon | None = None) -> DataFrame:
     """(doc_id, start_char, end_char): the sentences of each text; offsets count code points from 0, the end is exclusive.
 
-    Texts are split one by one, without a shuffle; each is read whole. Null and blank texts give no rows, repeated rows
-    give their sentences again, other columns are ignored.
+    Spaced scripts go through a lattice of terminators, spaceless ones through one of blanks, classified by the words around
+    them; their dictionary is counted over all texts unless it is given (see :func:`lexloom.llm.lattice.learn`). Texts are
+    split one by one, without a shuffle; each is read whole. Null and blank texts give no rows, repeated rows give their
+    sentences again, other columns are ignored.
     """
-    return df.selectExpr(f"cast(`{id}` as bigint) as id", f"`{text}` as text").where("text is not null").mapInArrow(_run, "doc_id bigint, start_char int, end_char int")
+    rows = df.selectExpr(f"cast(`{id}` as bigint) as id", f"`{text}` as text").where("text is not null")
+    known = df.sparkSession.sparkContext.broadcast(learn(df, text) if lexicon is None else lexicon)
+    return rows.mapInArrow(_run(known), "doc_id bigint, start_char int, end_char int")

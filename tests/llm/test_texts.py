@@ -262,6 +262,72 @@ def test_short_lines_stay(text):
     assert [text[a:b] for a, b in sentences.split(text)] == text.split("\n")
 
 
+NATURAL = [
+    ["ผมไปโรงเรียน", "ฝนตกหนักมาก", "เด็กๆวิ่งเล่น"],
+    ["ข้าวเปียกฝนหมดแล้วครับ", "แต่พรุ่งนี้แดดจะออก", "คุณ สมชายจะมาช่วย"],
+    ["ຂ້ອຍໄປໂຮງຮຽນ", "ລາວບໍ່ມາເຮັດວຽກ", "ແຕ່ມື້ນີ້ຝົນຕົກ"],
+    ["ខ្ញុំទៅសាលារៀន", "ថ្ងៃនេះភ្លៀងខ្លាំងណាស់"],
+    ["今天下雨了", "我们没有去学校", "明天再说吧"],
+    ["昨日は雨でした", "私は家にいました"],
+    ["He said no.", "Then he left the room.", "She takes vitamin C.", "It helps a lot.", "We chose plan B.", "Bob left."],
+    ["Mrs. Dalloway said she would buy the flowers herself.", "For Lucy had her work cut out for her."],
+    ["It was the best of times, it was the worst of times.", "“Are you there, Mr. Holmes?” he cried.", "Nobody (not even J. K. Jerome) knew.", "See ch. 4, fig. 2.", "The U.S. Senate met at 9 a.m. on Monday.", "It adjourned at 5 p.m."],
+    ["Prof. Dr. Meier kam um 8.15 Uhr.", "„Guten Tag!“, sagte er.", "Das war am 3. Oktober in St. Gallen."],
+    ["La casa de la Sra. Pérez es roja.", "¿Quién vive allí?", "Nadie."],
+]
+
+
+@pytest.mark.parametrize("parts", NATURAL)
+def test_sentences_of_common_texts(parts):
+    """Nothing is learned here: general words of the scripts must do."""
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in sentences.split(text)] == parts
+
+
+def test_dictionary_is_learned(spark):
+    """Openers, titles and particles of an invented spaceless language come from the lines of the corpus."""
+    rng = random.Random(11)
+    letters = [chr(c) for c in range(0x1000, 0x1020)]
+    make = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    openers, nouns, verbs, title, unit = [make(4) for _ in range(6)], [make(5) for _ in range(30)], [make(3) for _ in range(8)], make(2), make(3)
+    name = lambda: make(rng.randrange(4, 7))
+
+    def sentence():
+        end = f" {rng.randrange(10, 99)} {unit}" if rng.random() < 0.3 else ""
+        return (f"{title} {name()} " if rng.random() < 0.3 else "") + rng.choice(openers) + name() + rng.choice(verbs) + rng.choice(nouns) + name() + end
+
+    docs, truth = [], {}
+    for i in range(1500):
+        lines = [[sentence() for _ in range(rng.choice([1, 1, 2, 3, 5]))] for _ in range(2)]
+        docs.append((i, "\n".join(" ".join(x) for x in lines)))
+        truth[i] = [s for x in lines for s in x]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    texts = dict(docs)
+    got: dict[int, list[str]] = {}
+    for r in sorted(sentences.sentences(df).collect()):
+        got.setdefault(r.doc_id, []).append(texts[r.doc_id][r.start_char : r.end_char])
+    both = sum(len(set(got[i]) & set(truth[i])) for i in truth)
+    assert both >= 0.97 * sum(map(len, truth.values())) and both >= 0.97 * sum(map(len, got.values()))
+    plain = sum(len({t[a:b] for a, b in sentences.split(t)} & set(truth[i])) for i, t in docs)
+    assert plain < 0.9 * both  # which the general words alone do not give
+
+
+@pytest.mark.parametrize("make", [lambda n: "(" * n + "”" * n, lambda n: "Am 12. Mai " * n, lambda n: "“a.” " * n, lambda n: "“a.”" * n, lambda n: "x. " * n, lambda n: "ก " * n, lambda n: "他。" * n, lambda n: "No! " * n + "a" * n, lambda n: "'" * n + "a " * n, lambda n: "(a. “b.” " * n])
+def test_time_grows_with_length(make):
+    """One long line costs no more a character than a short one."""
+    import time
+
+    def seconds(n):
+        text, best = make(n), 9e9
+        for _ in range(2):
+            began = time.perf_counter()
+            sentences.split(text)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert seconds(16_000) < 4 * 4 * max(seconds(4000), 0.01)
+
+
 @pytest.mark.parametrize("parts", ABBREVIATED)
 def test_abbreviations_may_end(parts):
     text = " ".join(parts)
