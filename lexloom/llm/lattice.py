@@ -16,15 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.session import cut
+
 #: Longest word of the dictionary in code points.
 LONGEST = 14
-#: A word makes up this share of all characters of spaceless scripts at least, so that the dictionary has a bounded size at
-#: every size of the corpus: 1 / SHARE substrings of each length at most. It occurs LEAST times at least.
-SHARE, LEAST = 2e-5, 3
+#: A word occurs at least once in 1 / SHARE characters of its script, so that the dictionary has a bounded size at every size
+#: of the corpus: 1 / SHARE substrings of each length and script at most. It occurs LEAST times at least.
+SHARE, LEAST = 5e-5, 3
 #: A substring is a word if no single neighbour takes more than this share of its occurrences.
 FIXED = 0.7
-#: Buckets of the first count, which only tells what may be frequent; 4 bytes each.
+#: Buckets of the first count in each script, which only tells what may be frequent; one bit each is broadcast.
 BUCKETS = 1 << 20
+#: Buckets whose counts travel in one row.
+BLOCK = 256
 #: Earlier ends that are weighed as the start of a sentence one by one.
 BACK = 6
 
@@ -55,6 +59,17 @@ def script(c: str) -> str | None:
     return None
 
 
+def _owners() -> np.ndarray:
+    """The number of the script of each code point; what has none is never a substring's start but for the full stop."""
+    out = np.zeros(0xFB00, np.int64)
+    for k, (_, pattern) in enumerate(_SCRIPT):
+        out[[c for c in range(0x0E00, len(out)) if not 0xD800 <= c < 0xE000 and pattern.match(chr(c))]] = k
+    return out
+
+
+_OWN = _owners()
+
+
 @dataclass
 class Lexicon:
     """``words``: the cost of each word; ``opens`` and ``closes``: how much more often a word opens (closes) lines than it
@@ -169,38 +184,59 @@ def _grams(codes: np.ndarray):
         yield n, start, h[start] * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(44)).astype(np.int64) & (BUCKETS - 1)
+def _bucket(codes: np.ndarray, start: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A bucket of the script that the substring starts in."""
+    return _OWN[np.minimum(codes[start], len(_OWN) - 1)] * BUCKETS + ((h >> np.uint64(44)).astype(np.int64) & (BUCKETS - 1))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]):
     for b in batches:
-        for s in range(0, b.num_rows, 256):
-            yield [t for t in b.column(0).slice(s, 256).to_pylist() if t]
+        for s in range(0, b.num_rows, 2048):
+            yield [t for t in b.column(0).slice(s, 2048).to_pylist() if t]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, n) of all substrings; bucket -1 counts the characters."""
-    total, counts = 0, np.zeros(BUCKETS, np.int64)
+    """(block, counts, total): the numbers of substrings in BLOCK buckets each; the block -1 - k has the characters of script k."""
+    totals, counts = np.zeros(len(SCRIPTS), np.int64), np.zeros(len(SCRIPTS) * BUCKETS, np.int32)
     for texts in _texts(batches):
         _, codes, *_ = _marked(texts)
-        total += int((codes != 0).sum())
-        for _, _, h in _grams(codes):
-            counts += np.bincount(_bucket(h), minlength=BUCKETS)
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], total))], names=["bucket", "n"])
+        totals += np.bincount(_OWN[np.minimum(codes[codes != 0], len(_OWN) - 1)], minlength=len(totals))
+        for _, start, h in _grams(codes):
+            bucket, n = np.unique(_bucket(codes, start, h), return_counts=True)
+            counts[bucket] += n.astype(np.int32)
+    blocks = counts.reshape(-1, BLOCK)
+    at = np.flatnonzero(blocks.any(axis=1))
+    for s in range(0, len(at), 4096):
+        part = at[s : s + 4096]
+        rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * BLOCK), len(part), [None, pa.py_buffer(np.ascontiguousarray(blocks[part]))])
+        yield pa.RecordBatch.from_arrays([pa.array(part), rows.cast(pa.binary()), pa.nulls(len(part), pa.int64())], names=["block", "counts", "total"])
+    k = np.arange(len(totals))
+    yield pa.RecordBatch.from_arrays([pa.array(-1 - k), pa.nulls(len(k), pa.binary()), pa.array(totals)], names=["block", "counts", "total"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, n) of the buckets of the partition's blocks with LEAST substrings, and the scripts' totals."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for block, raw, total in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            own = np.frombuffer(raw, np.int32).astype(np.int64) if raw is not None else np.array([total])
+            sums[block] = sums[block] + own if block in sums else own
+    for block, own in sums.items():
+        at = np.flatnonzero(own >= LEAST) if block >= 0 else np.zeros(1, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(block * BLOCK + at if block >= 0 else np.array([block])), pa.array(own[at])], names=["bucket", "n"])
 
 
 _STATS = ("n", "opens", "after", "closes", "before")
 
 
-def _frequent(bits, least: int):
-    """(word, n, opens, after, closes, before) of what may occur ``least`` times; of a short chunk behind three 0 how often
+def _frequent(bits):
+    """(word, n, opens, after, closes, before) of what may be frequent; of a short chunk behind three 0 how often
     what follows it closes a line or stands before a blank; of a script's name behind two 0 the same
     for all its runs, behind one 0 the number of lines without a blank and the sums of their lengths and squared lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
+        known = np.unpackbits(bits.value).view(bool)
 
         def add(word, values):
             if word in found:
@@ -215,7 +251,7 @@ def _frequent(bits, least: int):
             for name, x in lengths:
                 add("\0" + name, np.array([1, x, x * x, 0, 0]))
             for n, start, h in _grams(codes):
-                keep = bits.value[_bucket(h)] >= least
+                keep = known[_bucket(codes, start, h)]
                 start, h = start[keep], h[keep]
                 if not len(start):
                     continue
@@ -234,23 +270,26 @@ def _frequent(bits, least: int):
 def learn(df: DataFrame, text: str = "text") -> Lexicon:
     """The lexicon of all texts. Two scans of the texts with spaceless scripts; the first counts substrings in buckets, the
     second what may be frequent and what stands behind short chunks. The tables have a bounded size (see SHARE)."""
-    rows = df.select(F.col(text).alias("text")).where(F.col("text").rlike(f"[{SPACELESS}]"))
+    rows = cut(df.select(F.col(text).alias("text")).where(F.col("text").rlike(f"[{SPACELESS}]")), "spaceless")
     spark = df.sparkSession
-    counted = rows.mapInArrow(_counted, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    bucket, n = counted.column("bucket").to_numpy(), counted.column("n").to_numpy()
-    total = int(n[bucket == -1].sum())
-    if not total:
+    counted = cut(rows.mapInArrow(_counted, "block bigint, counts binary, total bigint").repartition("block").mapInArrow(_summed, "bucket bigint, n bigint"), "buckets")
+    totals = {list(SCRIPTS)[-1 - r.bucket]: r.n for r in counted.where("bucket < 0").collect() if r.n}
+    if not totals:
         return Lexicon()
-    least = max(LEAST, math.ceil(total * SHARE))
-    counts = np.zeros(BUCKETS, np.int32)
-    counts[bucket[bucket >= 0]] = np.minimum(n[bucket >= 0], np.iinfo(np.int32).max)
-    bits = spark.sparkContext.broadcast(counts)
-    found = rows.mapInArrow(_frequent(bits, least), "word string, " + ", ".join(f"{c} double" for c in _STATS))
-    sums = found.groupBy("word").agg(*[F.sum(c).alias(c) for c in _STATS]).where((F.col("n") >= least) | (F.col("word").startswith("\0") & ~F.col("word").startswith("\0\0\0"))).toArrow()
-    return _lexicon(sums, total)
-
-
-def _lexicon(sums: pa.Table, total: int) -> Lexicon:
+    least = {k: max(LEAST, math.ceil(n * SHARE)) for k, n in totals.items()}
+    limit = F.element_at(F.array(*[F.lit(least.get(k, 1 << 60)) for k in SCRIPTS]), F.expr(f"cast(bucket div {BUCKETS} as int) + 1"))
+    may = np.zeros(len(SCRIPTS) * BUCKETS, bool)
+    may[counted.where("bucket >= 0").where(F.col("n") >= limit).select("bucket").toArrow().column(0).to_numpy()] = True
+    bits = spark.sparkContext.broadcast(np.packbits(may))
+    found = rows.mapInArrow(_frequent(bits), "word string, " + ", ".join(f"{c} double" for c in _STATS))
+    enough = F.lit(False)
+    for k, n in least.items():
+        enough |= F.col("word").rlike(f"^(?:\\x00\\x00\\x00)?[{SCRIPTS[k]}]") & (F.col("n") >= n)
+    sums = found.groupBy("word").agg(*[F.sum(c).alias(c) for c in _STATS]).where(enough | F.col("word").rlike("^\\x00{1,2}[a-z]")).toArrow()
+    return _lexicon(sums, totals)
+
+
+def _lexicon(sums: pa.Table, totals: dict[str, int]) -> Lexicon:
     words = sums.column("word").to_pylist()
     values = np.stack([sums.column(c).to_numpy() for c in _STATS], axis=1)
     stats = dict(zip(words, values, strict=True))
@@ -267,7 +306,7 @@ def _lexicon(sums: pa.Table, total: int) -> Lexicon:
         if len(w) > 1:
             right[w[:-1]], left[w[1:]] = max(right.get(w[:-1], 0), s[0]), max(left.get(w[1:], 0), s[0])
     free = {w: s for w, s in stats.items() if len(w) < LONGEST and (len(w) > 1 or _CJK.match(w)) and right.get(w, 0) <= FIXED * s[0] and left.get(w, 0) <= FIXED * s[0]}
-    out = Lexicon({w: math.log(total / s[0]) for w, s in free.items() if len(w) > 1}, lengths=lengths, unknown=math.log(2 * total))
+    out = Lexicon({w: math.log(totals[script(w[0])] / s[0]) for w, s in free.items() if len(w) > 1}, lengths=lengths, unknown=math.log(2 * max(totals.values())))
 
     def odds(k: int) -> dict[str, float]:
         """Log-odds of the places 1 (opening, closing) against 2 (at a blank inside) of each word; a script's name behind a 0
@@ -288,7 +327,7 @@ def _lexicon(sums: pa.Table, total: int) -> Lexicon:
 
     out.opens, out.closes = odds(1), odds(3)
     for w, x in carried.items():
-        yes, no = every[script(w[0])][3:5]
+        yes, no = every.get(script(w[0]), np.zeros(5))[3:5]
         if x[0] >= LEAST and yes >= 20 and no >= 20:
             out.carries[w] = float(np.clip(math.log((x[3] + 2) / (yes + 4) / ((x[4] + 2) / (no + 4))), -4, 4))
     return out

@@ -238,13 +238,13 @@ def _abbreviation(token: str, led: bool, lettered: bool, lead: str) -> float:
 
 def _cased(block: str) -> bool:
     """Whether the case of letters tells anything in this block."""
-    up, low = sum(map(str.isupper, block)), sum(map(str.islower, block))
-    if up + low < 12:
+    lower, upper = block.lower(), block.upper()
+    if (block in (lower, upper) or len(block) < 40) and sum(x != y for x, y in zip(lower, upper, strict=False)) < 12:
         return True
-    if not up or not low:
+    if block in (lower, upper):
         return False
-    odd = sum(1 for w in block.split() if len(w) > 3 and any(c.isupper() for c in w[1:]) and any(c.islower() for c in w))
-    return odd * 4 < len(block.split())
+    words = block.split()
+    return 4 * sum(1 for w in words if len(w) > 3 and (t := w[1:]) != t.lower() and t != t.upper()) < len(words)
 
 
 def _nodes(text: str, a: int, b: int, lexicon: Lexicon) -> list[Node]:
