@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lexloom.llm.lattice import BEFORE, SPACELESS, Lexicon, Node, best_ends, learn, script
+from lexloom.session import by_value
 
 #: Abbreviations that seldom end a sentence: titles, references, "that is", units that a number or name follows.
 NEVER = frozenset(
@@ -431,10 +432,11 @@ def split(text: str | None, lexicon: Lexicon = Lexicon()) -> list[tuple[int, int
 
 def _run(lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = lexicon()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [split(t, lexicon.value) for t in part.column(1).to_pylist()]
+                found = [split(t, own) for t in part.column(1).to_pylist()]
                 counts = np.fromiter(map(len, found), np.int64, len(found))
                 spans = np.array([s for f in found for s in f], np.int32).reshape(-1, 2)
                 ids = pa.array(np.repeat(np.arange(len(found)), counts))
@@ -452,5 +454,5 @@ def sentences(df: DataFrame, id: str = "doc_id", text: str = "text", lexicon: Le
     sentences again, other columns are ignored.
     """
     rows = df.selectExpr(f"cast(`{id}` as bigint) as id", f"`{text}` as text").where("text is not null")
-    known = df.sparkSession.sparkContext.broadcast(learn(df, text) if lexicon is None else lexicon)
+    known = by_value(df.sparkSession, learn(df, text) if lexicon is None else lexicon)
     return rows.mapInArrow(_run(known), "doc_id bigint, start_char int, end_char int")
