@@ -22,8 +22,9 @@ _BINS = 1 << 12
 WORDS, FRAMES = 1 << 15, 1 << 11
 DIM, FILTERS, WIDTHS = 24, 32, (1, 2, 3, 5)
 BATCH, RATE = 128, 4e-3
-#: Gradient steps at most, steps between two looks at held-out rows, and looks without a gain after which training ends.
-STEPS, EVERY, PATIENCE = 3000, 40, 5
+#: Gradient steps at most, steps between two looks at held-out rows, looks without a gain after which training ends, and what
+#: counts as a gain of log-loss.
+STEPS, EVERY, PATIENCE, GAIN = 3000, 40, 3, 0.002
 #: Words of a piece of a long text.
 PIECE = 512
 #: A word seen in fewer labelled texts is "some word": names must not become evidence.
@@ -193,7 +194,7 @@ def train(rows, y: np.ndarray, seen: np.ndarray, seed: int, steps: int = STEPS,
     """Adam on log-loss, dropout before the output, embeddings updated where they were used.
 
     Returns the model, the number of steps and the scores of the rows ``held`` out: (rows, labels). With these, training
-    ends PATIENCE looks after their log-loss was lowest, and the scores are those of that look."""
+    ends PATIENCE looks after the last gain, and the scores are those of that look."""
     rng = np.random.default_rng(seed)
     model = _fresh(rng, seen)
     # unknown words alone are no evidence: some texts are blanked and count as harmless
@@ -249,7 +250,7 @@ def train(rows, y: np.ndarray, seen: np.ndarray, seed: int, steps: int = STEPS,
             now = np.concatenate([model.forward(*_batch(held[0][s : s + 256])) for s in range(0, len(held[0]), 256)])
             p = np.clip(now, 1e-6, 1 - 1e-6)
             loss = -float(np.mean(held[1] * np.log(p) + (1 - held[1]) * np.log(1 - p)))
-            if loss < lowest:
+            if loss < lowest - GAIN:
                 lowest, best, scores = loss, step, now
             elif step - best >= PATIENCE * EVERY:
                 return model, best, scores
