@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.session import cut, spread
+
 #: Stands before a line's first word; part of contexts, never a word.
 START = "<s>"
 
@@ -40,12 +42,26 @@ def from_padded(top: DataFrame, order: int, starts: bool) -> list[DataFrame]:
     return out
 
 
+def counted(df: DataFrame, tokens: Column, order: int, starts: bool, continuations: bool = False) -> list[DataFrame]:
+    """(context, word, cnt) of all orders, each written once: an order is summed from the next higher one. With
+    ``continuations``, orders below the top count distinct left contexts, line start included: the rows of the order above."""
+    cols = [f"w{i}" for i in range(1, order + 1)]
+    levels = [cut(padded(spread(df), tokens, order), "grams")]
+    for n in range(order - 1, 0, -1):
+        levels.append(cut(levels[-1].groupBy(*cols[order - n :]).agg(F.sum("cnt").alias("cnt"), F.count("*").alias("left")), f"grams{n}"))
+    out = []
+    for n, rows in enumerate(reversed(levels), 1):
+        own = cols[order - n :]
+        rows = rows.withColumn("cnt", F.col("left")) if continuations and n < order else rows
+        out.append(_as_pairs(rows if starts else rows.where(F.col(own[0]) != START), own))
+    return out
+
+
 def padded(df: DataFrame, tokens: Column, order: int) -> DataFrame:
     """(w1..wn, cnt) with n - 1 line starts before each line: every word ends exactly one gram. Scalar columns, so that
     counting stays in generated code."""
-    rows = df.select(tokens.alias("t")).where(F.size("t") >= 1)
-    pads = F.array_repeat(F.lit(START), order - 1)
-    padded = rows.select(F.concat(pads, "t").alias("t"))
+    # lines without words give nothing; a filter would run the tokens twice, and where the text is read
+    padded = df.select(F.concat(F.array_repeat(F.lit(START), order - 1), tokens).alias("t"))
     shifts = [F.slice("t", F.lit(i), F.size("t") - (order - 1)).alias(str(i)) for i in range(1, order + 1)]
     cols = [f"w{i}" for i in range(1, order + 1)]
     exploded = padded.select(F.explode(F.arrays_zip(*shifts)).alias("g")).select(*[F.col(f"g.`{i}`").alias(c) for i, c in enumerate(cols, 1)])

@@ -14,8 +14,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.operators.ngrams import START, continuation_counts, estimated_discount, from_padded, padded
+from lexloom.operators.ngrams import START, counted, estimated_discount
 from lexloom.session import cut
+from lexloom.sources.sinks import fingerprint
 
 UNKNOWN = "<unk>"
 
@@ -27,21 +28,50 @@ def _tail() -> Column:
 
 @dataclass
 class Model:
-    """``base``: (word, p) with UNKNOWN; ``grams``: (n, context, word, weight, p); ``contexts``: (n, context, total, types,
-    backoff) with backoff 1 where nothing is kept; ``best``: (n, context, top), top an array of (-p, word) best first."""
+    """``base``: (word, p) with UNKNOWN; ``levels``: (n, context, word, weight, p, total, types, backoff), the last three of the
+    context, backoff 1 where nothing is kept. What is derived from them is computed when it is first asked for and written:
+    ``contexts``: (n, context, total, types, backoff); ``best``: (n, context, top), top an array of (-p, word) best first."""
 
     order: int
     base: DataFrame
-    grams: DataFrame
-    contexts: DataFrame
+    levels: DataFrame
     starts: bool
     k: int
 
+    @property
+    def grams(self) -> DataFrame:
+        return self.levels.select("n", "context", "word", "weight", "p")
+
+    @cached_property
+    def contexts(self) -> DataFrame:
+        columns = ("total", "types", "backoff")
+        return cut(self.levels.groupBy("n", "context").agg(*[F.first(c).alias(c) for c in columns]), "contexts")
+
     @cached_property
     def best(self) -> DataFrame:
         return best_words(self, self.k)
 
 
+_SHARED: dict[str, object] = {}
+
+
+def shared(source: DataFrame, config: dict, build):
+    """What ``build`` gives for the files of ``source`` and a configuration: built once in a session, found again by the
+    fingerprint of both (paths, lengths and times of the files)."""
+    spark = source.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = sorted(source.inputFiles())
+    listed = []
+    for folder in sorted({f.rsplit("/", 1)[0] for f in files}):
+        path = hadoop(folder)
+        listed += [(str(f.getPath()), f.getLen(), f.getModificationTime()) for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
+    own = {f.split("://", 1)[-1].split(":", 1)[-1].lstrip("/") for f in files}
+    key = fingerprint({"app": spark.sparkContext.applicationId, "files": [x for x in sorted(listed) if x[0].split("://", 1)[-1].split(":", 1)[-1].lstrip("/") in own] or files, **config})
+    if key not in _SHARED:
+        _SHARED[key] = build()
+    return _SHARED[key]
+
+
 def base_probabilities(counts: DataFrame) -> DataFrame:
     """(word, p) of unigrams and UNKNOWN: (c + .1) / sum."""
     words = counts.select("word", "cnt").unionAll(counts.sparkSession.createDataFrame([(UNKNOWN, 0)], "word string, cnt bigint"))
@@ -59,10 +89,9 @@ def build(df: DataFrame, tokens: Column, method: str = "kneser_ney", order: int
     if method not in ("kneser_ney", "absolute", "interpolated", "witten_bell"):
         raise ValueError(f"unknown method: {method}")
     starts = method in ("kneser_ney", "absolute")
-    raw = from_padded(cut(padded(df, tokens, order), "grams"), order, starts)
-    counts = [continuation_counts(raw[n + 1]) if method == "kneser_ney" and n + 1 < order else raw[n] for n in range(order)]
+    counts = counted(df, tokens, order, starts, method == "kneser_ney")
     base = cut(base_probabilities(counts[0]), "base")
-    levels, contexts = [], []
+    levels = []
     lower = base.select(F.lit("").alias("context"), "word", "p")
     for n in range(2, order + 1):
         own = counts[n - 1]
@@ -75,16 +104,14 @@ def build(df: DataFrame, tokens: Column, method: str = "kneser_ney", order: int
             total, b, w = F.col("mass"), d * F.col("types") / F.col("mass"), (F.col("cnt") - d) / F.col("total")
         else:
             total, b, w = F.col("mass"), F.col("types") / (F.col("mass") + F.col("types")), F.col("cnt") / (F.col("total") + F.col("types"))
-        stats = cut(stats.select("context", total.alias("total"), "types", F.when(F.col("types") > 0, b).otherwise(F.lit(1.0)).alias("backoff")), f"contexts{n}")
-        rows = own.join(stats, "context").select("context", "word", F.when(kept & (F.col("types") > 0), w).otherwise(F.lit(0.0)).alias("weight"), "backoff", _tail().alias("tail"))
+        stats = stats.select("context", total.alias("total"), "types", F.when(F.col("types") > 0, b).otherwise(F.lit(1.0)).alias("backoff"))
+        rows = own.join(stats, "context").select("context", "word", F.when(kept & (F.col("types") > 0), w).otherwise(F.lit(0.0)).alias("weight"), "total", "types", "backoff", _tail().alias("tail"))
         rows = rows.join(lower.select(F.col("context").alias("tail"), "word", F.col("p").alias("lower")), ["tail", "word"])
-        level = cut(rows.select("context", "word", "weight", (F.col("backoff") * F.col("lower") + F.col("weight")).alias("p")), f"level{n}")
+        level = cut(rows.select("context", "word", "weight", (F.col("backoff") * F.col("lower") + F.col("weight")).alias("p"), "total", "types", "backoff"), f"level{n}")
         levels.append(level.select(F.lit(n).alias("n"), "*"))
-        contexts.append(stats.select(F.lit(n).alias("n"), "*"))
         lower = level
-    spark = df.sparkSession
-    empty = [spark.createDataFrame([], "n int, context string, word string, weight double, p double")], [spark.createDataFrame([], "n int, context string, total bigint, types bigint, backoff double")]
-    return Model(order, base, _union(levels or empty[0]), _union(contexts or empty[1]), starts, k)
+    empty = [df.sparkSession.createDataFrame([], "n int, context string, word string, weight double, p double, total bigint, types bigint, backoff double")]
+    return Model(order, base, _union(levels or empty), starts, k)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -209,8 +236,7 @@ class BackOff:
 
 def build_backoff(df: DataFrame, tokens: Column, order: int = 3, least: int = 1, k: int = 3) -> BackOff:
     """Relative frequencies of the longest known context, filled up from shorter ones."""
-    raw = from_padded(cut(padded(df, tokens, order), "grams"), order, False)
-    kept = [cut(g if n == 1 else g.where(F.col("cnt") >= least), f"plain{n}") for n, g in enumerate(raw, 1)]
+    kept = [g if n == 1 else g.where(F.col("cnt") >= least) for n, g in enumerate(counted(df, tokens, order, False), 1)]
     words = kept[0].count()
     grams, contexts, best, lower = [], [], [], None
     for n, g in enumerate(kept, 1):

@@ -18,6 +18,11 @@ def cases(spark, d):
     return table(spark, d, "development").where("prefix is not null and actual is not null").select("case_id", source_name(F.col("source")).alias("source"), "prefix", F.lower("actual").alias("actual"))
 
 
+def prefixes(spark, d):
+    """All cases with a prefix, whether their target is known or not: (case_id, source, prefix, actual)."""
+    return table(spark, d, "development").where("prefix is not null").select("case_id", source_name(F.col("source")).alias("source"), "prefix", F.lower("actual").alias("actual"))
+
+
 def scores(spark, d):
     """(case_id, word, score): the best valid probability of each case and word."""
     words = table(spark, d, "vocabulary")
@@ -59,4 +64,5 @@ def bucket(key: str, n: int, seed: str = "") -> str:
 
 LINES = f"(select line_id, {SOURCE} as source, text from training_lines)"
 CASES = f"(select case_id, {SOURCE} as source, prefix, lower(actual) as actual from development where prefix is not null and actual is not null)"
+PREFIXES = f"(select case_id, {SOURCE} as source, prefix, lower(actual) as actual from development where prefix is not null)"
 SCORES = "(select case_id, word, score from (select case_id, word_id, max(cpu_probability) as score from candidate_scores where cpu_probability is not null and not isnan(cpu_probability) group by 1, 2) join vocabulary using (word_id))"

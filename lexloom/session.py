@@ -69,6 +69,12 @@ def by_value(spark: SparkSession, thing) -> Callable[[], Any]:
     return lambda: pickle.loads(sent.value)  # noqa: S301
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it is read in fewer parts than there are: a table of one small file. Larger ones stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
