@@ -33,15 +33,30 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def lgamma(x: Column) -> Column:
+    """The logarithm of the gamma function for x >= 1: Stirling's series ten steps up, and back."""
+    y = x + 10.0
+    series = (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5)))
+    back = F.lit(0.0)
+    for i in range(10):
+        back = back + F.log(x + float(i))
+    return series - back
+
+
 def mcnemar(wins: Column, losses: Column) -> Column:
-    """Exact two-sided binomial tail of the discordant pairs; 1 where there are none. Terms are summed on a log scale, so
-    that large counts neither overflow nor vanish."""
+    """Exact two-sided binomial tail of the discordant pairs; 1 where there are none.
+
+    Terms fall from the smaller count down; those more than 24 standard deviations away are below any precision, so
+    that the sum grows with the square root of the counts only.
+    """
     n, k = wins + losses, F.least(wins, losses)
-    # log C(n, i) grows by log((n - i) / (i + 1)); the state is (tail, log of the term)
+    first = lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0) - n * F.log(F.lit(2.0))
+    most = F.least(k, F.ceil(12 * F.sqrt(n)).cast("bigint") + 60)
+    # term(i - 1) = term(i) * i / (n - i + 1); the state is (tail, log of the term)
     fold = F.aggregate(
-        F.sequence(F.lit(0).cast("bigint"), k),
-        F.struct(F.lit(0.0).alias("tail"), (-n * F.log(F.lit(2.0))).alias("term")),
-        lambda s, i: F.struct((s["tail"] + F.exp(s["term"])).alias("tail"), (s["term"] + F.log(F.greatest(n - i, F.lit(1)) / (i + 1))).alias("term")),
+        F.sequence(F.lit(0).cast("bigint"), most),
+        F.struct(F.lit(0.0).alias("tail"), first.alias("term")),
+        lambda s, j: F.struct((s["tail"] + F.exp(s["term"])).alias("tail"), (s["term"] + F.log(F.greatest(k - j, F.lit(1)) / (n - k + j + 1))).alias("term")),
         lambda s: F.least(F.lit(1.0), 2 * s["tail"]),
     )
     return F.when(n == 0, F.lit(1.0)).otherwise(fold)

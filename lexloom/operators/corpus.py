@@ -16,6 +16,14 @@ def bernoulli(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     return df.where(bucket(F.col(key), PARTS, str(seed)) < int(round(share * PARTS)))
 
 
+def capped(df: DataFrame, group: str, key: str, share: float, most: int, seed: int) -> DataFrame:
+    """Each row of a group with probability ``share``, drawn by a seed of the group's own, up to the first ``most`` by key.
+    The cap is a group limit below the shuffle. Null groups draw as ''."""
+    own = F.concat(F.lit(f"{seed}:"), F.coalesce(group, F.lit("")), F.lit(":"), F.col(key).cast("string"))
+    drawn = df.where(bucket(own, PARTS) < int(round(share * PARTS)))
+    return drawn.withColumn("_n", F.expr(f"row_number() over (partition by {group} order by {key})")).where(F.col("_n") <= most).drop("_n")
+
+
 def exact_per_group(df: DataFrame, group: str, key: str, n: int, seed: int) -> DataFrame:
     """Exactly n rows of each group (all, where there are fewer), as a reservoir would give them: the smallest hashes.
     The row_number filter becomes a group limit below the shuffle, so a hot group sends n rows a task."""
@@ -107,8 +115,8 @@ def distractors(targets: DataFrame, counts: DataFrame, near: int = 250, choices:
     """
     from lexloom.operators.ordered import running_sums
 
-    ranked = running_sums(counts.select(F.lit("all").alias("g"), "word", (-F.col("cnt")).alias("c"), F.xxhash64("word").alias("id"), F.lit(1).alias("one")), "g", ["c", "word"], "id", "one")
-    ranks = counts.select("word", F.xxhash64("word").alias("id")).join(ranked.select("id", F.col("upto").alias("rank")), "id").select("word", "rank")
+    ranked = running_sums(counts.select(F.lit("all").alias("g"), "word", (-F.col("cnt")).alias("c"), F.lit(0).alias("zero"), F.lit(1).alias("one")), "g", ["c", "word"], "zero", "one", keep="word")
+    ranks = ranked.select(F.col("what").alias("word"), F.col("upto").alias("rank"))
     last = counts.count()
     known = targets.select(F.col("target")).distinct().join(ranks.withColumnRenamed("word", "target"), "target", "left").select("target", F.coalesce("rank", F.lit(last)).alias("at"))
     left = known.select("target", "at", F.explode(F.expr(f"sequence((greatest(at - {near}, 1)) div {near}, (at + {near}) div {near})")).alias("block"))

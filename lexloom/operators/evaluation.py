@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.stats import mcnemar, wilson
+from lexloom.functions.stats import Z, mcnemar, wilson
+from lexloom.operators.ordered import quantiles
 
 #: Smallest probability whose logarithm is taken.
 TINY = 2.2250738585072014e-308
@@ -119,9 +120,15 @@ def by_seed(details: DataFrame, arms: list[str]) -> DataFrame:
 
 
 def select_arm(details: DataFrame, arms: list[str]) -> DataFrame:
-    """The arm with the most top-3 hits over all seeds; ties by top-1 hits, latency, then the arm's own order."""
-    rows = details.groupBy(*arms).agg(F.count_if(F.col("rank") > 0).alias("top3_hits"), F.count_if(F.col("rank") == 1).alias("top1_hits"), F.expr("percentile(milliseconds, 0.5)").alias("median_ms"))
-    return rows.orderBy(F.desc("top3_hits"), F.desc("top1_hits"), "median_ms", *arms).limit(1)
+    """The arm with the most top-3 hits over all seeds, and its representative seed: the one whose top-3 share is nearest
+    to the arm's mean. Ties by top-1 hits, median latency, then the arm's own order; of seeds the smallest."""
+    arm = F.to_json(F.struct(*arms))
+    rows = details.withColumn("arm", arm)
+    hits = rows.groupBy("arm", *arms).agg(F.count_if(F.col("rank") > 0).alias("top3_hits"), F.count_if(F.col("rank") == 1).alias("top1_hits"), F.avg((F.col("rank") > 0).cast("double")).alias("mean"))
+    seeds = rows.groupBy("arm", "seed").agg(F.avg((F.col("rank") > 0).cast("double")).alias("share")).join(hits.select("arm", "mean"), "arm")
+    nearest = seeds.groupBy("arm").agg(F.min_by("seed", F.struct(F.round(F.abs(F.col("share") - F.col("mean")), 12), "seed")).alias("seed"))
+    medians = quantiles(rows, "arm", "milliseconds", [0.5])
+    return hits.join(medians, "arm").join(nearest, "arm").orderBy(F.desc("top3_hits"), F.desc("top1_hits"), "q0", *arms).limit(1).select(*arms, "top3_hits", "top1_hits", F.col("q0").alias("median_ms"), "seed")
 
 
 def within_of_leader(rows: DataFrame, score: str, margin: float, size: str) -> DataFrame:
@@ -139,4 +146,36 @@ def taxonomy(details: DataFrame, by: str = "source") -> DataFrame:
 def latency(times: DataFrame, by: str = "method_name") -> DataFrame:
     """Median, 95th percentile and mean of the valid times (positive, not NaN) of each method."""
     ok = times.where("milliseconds is not null and not isnan(milliseconds) and milliseconds > 0")
-    return ok.groupBy(by).agg(F.count("*").alias("calls"), F.round(F.expr("percentile(milliseconds, 0.5)"), 6).alias("median_ms"), F.round(F.expr("percentile(milliseconds, 0.95)"), 6).alias("p95_ms"), F.round(F.avg("milliseconds"), 6).alias("mean_ms"))
+    means = ok.groupBy(by).agg(F.count("*").alias("calls"), F.round(F.avg("milliseconds"), 6).alias("mean_ms"))
+    found = quantiles(ok, by, "milliseconds", [0.5, 0.95]).withColumnRenamed(by, "_by")
+    return means.join(found, means[by].eqNullSafe(found["_by"])).select(by, "calls", F.round("q0", 6).alias("median_ms"), F.round("q1", 6).alias("p95_ms"), "mean_ms")
+
+
+def choice_accuracy(cases: DataFrame, choice: str, actual: str, rank: str, by: str = "source") -> DataFrame:
+    """(by, cases, covered, coverage, accuracy, mrr3): cases with a choice, their share, how often the choice is right among
+    all cases, and the mean reciprocal rank cut at 3; '(all)' for all."""
+    hit = F.coalesce(F.col(choice) == F.col(actual), F.lit(False)).cast("double")
+    r = F.col(rank)
+    rows = cases.withColumn(by, F.coalesce(by, F.lit(""))).rollup(by).agg(
+        F.count("*").alias("cases"), F.count(choice).alias("covered"), F.round(F.avg(F.col(choice).isNotNull().cast("double")), 6).alias("coverage"), F.round(F.avg(hit), 6).alias("accuracy"),
+        F.round(F.avg(F.when(r.between(1, 3), 1 / r).otherwise(0.0)), 6).alias("mrr3"), F.grouping(by).alias("g"),
+    )
+    return rows.withColumn(by, F.when(F.col("g") == 1, "(all)").otherwise(F.col(by))).drop("g")
+
+
+def promotions(pairs: DataFrame, by: str = "source", level: float = 0.05) -> DataFrame:
+    """(by, cases, difference, low, high, p_value, promoted): the paired top-3 difference of each group with its normal
+    interval, McNemar's exact p, and whether both speak for the second arm."""
+    d = (F.col("rank_b") > 0).cast("int") - (F.col("rank_a") > 0).cast("int")
+    stats = pairs.groupBy(by).agg(F.avg(d).alias("m"), F.sqrt(F.var_pop(d) / F.count("*")).alias("e"))
+    rows = gains(pairs, [by]).withColumnRenamed(by, "_by").join(stats, F.col("_by").eqNullSafe(stats[by]))
+    low, high = F.col("m") - Z * F.col("e"), F.col("m") + Z * F.col("e")
+    return rows.select(by, "cases", F.round("m", 6).alias("difference"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), "p_value", ((low > 0) & (F.col("p_value") < level)).alias("promoted"))
+
+
+def within_budget(rows: DataFrame, limits: dict[str, float], score: str, least: float) -> DataFrame:
+    """``rows`` with ``passed``: no column above its limit (nulls fail), and ``score`` not below ``least``."""
+    ok = F.coalesce(F.col(score) >= least, F.lit(False))
+    for c, most in limits.items():
+        ok = ok & F.coalesce(F.col(c) <= most, F.lit(False))
+    return rows.withColumn("passed", ok)

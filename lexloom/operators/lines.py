@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 def word_pattern(word: str, ignore_case: bool = False) -> str:
     """A whole word: not next to a letter, digit or underscore."""
-    return ("(?i)" if ignore_case else "") + rf"(?<![\p{{L}}\p{{N}}_])\Q{word}\E(?![\p{{L}}\p{{N}}_])"
+    plain = "".join(c if c.isalnum() or c == "_" or c.isspace() else "\\" + c for c in word)
+    return ("(?i)" if ignore_case else "") + rf"(?<![\p{{L}}\p{{N}}_]){plain}(?![\p{{L}}\p{{N}}_])"
 
 
 def has_word(text: Column, word: str, ignore_case: bool = False) -> Column:

@@ -125,6 +125,6 @@ def vocabulary(grams1: DataFrame) -> DataFrame:
     """(word, cnt, id): words in binary order, ids from 1; the ids come from a prefix sum, not from one task."""
     from lexloom.operators.ordered import running_sums
 
-    rows = grams1.select(F.lit("all").alias("g"), "word", "cnt", F.lit(1).alias("one"), F.xxhash64("word").alias("h"))
-    ids = running_sums(rows, "g", ["word"], "h", "one").select(F.col("id").alias("h"), F.col("upto").alias("id"))
-    return rows.select("word", "cnt", "h").join(ids, "h").select("word", "cnt", "id")
+    rows = grams1.select(F.lit("all").alias("g"), "word", "cnt", F.lit(1).alias("one"), F.lit(0).alias("zero"))
+    ids = running_sums(rows, "g", ["word"], "zero", "one", keep="word").select(F.col("what").alias("word"), F.col("upto").alias("id"))
+    return rows.select("word", "cnt").join(ids, "word").select("word", "cnt", "id")

@@ -75,14 +75,14 @@ def adjacent_runs(df: DataFrame, key: str, id: str) -> DataFrame:
     return found.join(over, "part", "left").select("id", F.expr("if(first, coalesce(carried, head), head)").alias("head"))
 
 
-_SUMS = "part int, grp string, id bigint, size bigint, upto bigint, total bigint"
+_SUMS = "part int, grp string, id bigint, size bigint, upto bigint, total bigint, what string"
 
 
 def _scan_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     grp, run = None, 0
     totals: list[tuple[str, int]] = []
-    schema = pa.schema([("part", pa.int32()), ("grp", pa.string()), ("id", pa.int64()), ("size", pa.int64()), ("upto", pa.int64()), ("total", pa.int64())])
+    schema = pa.schema([("part", pa.int32()), ("grp", pa.string()), ("id", pa.int64()), ("size", pa.int64()), ("upto", pa.int64()), ("total", pa.int64()), ("what", pa.string())])
     for b in batches:
         n = b.num_rows
         if not n:
@@ -109,24 +109,42 @@ def _scan_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for e in ends[:-1]:
             totals.append((g[int(e)].as_py(), int(upto[e])))
         grp, run = g[n - 1].as_py(), int(upto[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), g, ids, pa.array(sizes), pa.array(upto), pa.nulls(n, pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), g, ids, pa.array(sizes), pa.array(upto), pa.nulls(n, pa.int64()), b.column(3)], schema=schema)
     if grp is not None:
         totals.append((grp, run))
         k = len(totals)
-        yield pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int32()), pa.array([t[0] for t in totals], pa.string()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([t[1] for t in totals], pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int32()), pa.array([t[0] for t in totals], pa.string()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([t[1] for t in totals], pa.int64()), pa.nulls(k, pa.string())], schema=schema)
 
 
-def running_sums(df: DataFrame, group: str, order: list[str], id: str, size: str) -> DataFrame:
-    """(id, grp, size, before, upto): running sums of ``size`` within ``group`` in the given order.
+def running_sums(df: DataFrame, group: str, order: list[str], id: str, size: str, keep: str | None = None) -> DataFrame:
+    """(id, grp, size, before, upto): running sums of ``size`` within ``group`` in the given order; with ``keep``, that
+    column as the string ``what`` too.
 
     No group is ever in one task: the range covers (group, order, id). The border table has a row for each
     (partition, group) met, at most partitions + groups rows; its window runs over those only.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(group).cast("string").alias("grp"), F.col(id).cast("bigint").alias("id"), F.col(size).cast("bigint").alias("size"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).where("grp is not null and id is not null and size is not null")
+    rows = df.select(F.col(group).cast("string").alias("grp"), F.col(id).cast("bigint").alias("id"), F.col(size).cast("bigint").alias("size"), F.col(keep).cast("string").alias("what") if keep else F.lit(None).cast("string").alias("what"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).where("grp is not null and id is not null and size is not null")
     keys = ["grp", *[f"o{i}" for i in range(len(order))], "id"]
-    ordered = rows.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys).select("grp", "id", "size")
+    ordered = rows.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys).select("grp", "id", "size", "what")
     scanned = cut(ordered.mapInArrow(_scan_sums, _SUMS), "sums")
     borders = scanned.where("id is null").select("part", "grp", F.expr("coalesce(sum(total) over (partition by grp order by part rows between unbounded preceding and 1 preceding), 0)").alias("base"))
-    found = scanned.where("id is not null").select("part", "grp", "id", "size", "upto")
-    return found.join(F.broadcast(borders), ["part", "grp"]).select("id", "grp", "size", F.expr("base + upto - size").alias("before"), F.expr("base + upto").alias("upto"))
+    found = scanned.where("id is not null").select("part", "grp", "id", "size", "upto", "what")
+    return found.join(F.broadcast(borders), ["part", "grp"]).select("id", "grp", "size", F.expr("base + upto - size").alias("before"), F.expr("base + upto").alias("upto"), *(["what"] if keep else []))
+
+
+def quantiles(df: DataFrame, by: str, value: str, shares: list[float]) -> DataFrame:
+    """(by, q0, q1, ...): interpolated quantiles of each group, null groups too. Values are counted first and ranked by a
+    prefix sum, so that no group's values are ever in one buffer."""
+    none = "\0"
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.coalesce(F.col(by).cast("string"), F.lit(none)).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("n")).withColumn("zero", F.lit(0))
+    sums = running_sums(counts, "g", ["v"], "zero", "n", keep="v").withColumn("v", F.col("what").cast("double"))
+    # the ends of each group's last value are its size
+    sums = sums.join(counts.groupBy(F.col("g").alias("grp")).agg(F.sum("n").alias("all")), "grp")
+    at = lambda k: F.max(F.expr(f"if(before <= {k} and {k} < upto, v, null)"))
+    out = []
+    for i, q in enumerate(shares):
+        low, high = f"floor({q!r}D * (all - 1))", f"ceil({q!r}D * (all - 1))"
+        part = F.max(F.expr(f"{q!r}D * (all - 1) - {low}"))
+        out.append((at(low) + part * (at(high) - at(low))).alias(f"q{i}"))
+    return sums.groupBy("grp").agg(*out).select(F.when(F.col("grp") != none, F.col("grp")).alias(by), *[f"q{i}" for i in range(len(shares))])

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.text import source_name
 from lexloom.operators import audit, calibration, evaluation, trie
-from lexloom.queries.common import CASES, SCORES, SOURCE, scores
+from lexloom.operators.ordered import quantiles
+from lexloom.queries.common import CASES, SCORES, SOURCE, bucket, scores
 from lexloom.queries.model import _probability
 from lexloom.session import cut, table
 from lexloom.streaming import live
@@ -180,11 +181,13 @@ def candidate_reach(s, d):
 
 
 def split_reconstruction(s, d):
-    """A split made twice must not differ."""
+    """A split made twice, in another partitioning, must not differ; the sizes of its parts go with it."""
     from lexloom.operators.corpus import split
 
     rows = table(s, d, "training_lines").select("line_id", split(F.col("line_id"), 20261101).alias("split"))
-    return audit.difference(rows, rows.repartition(5))
+    sizes = rows.groupBy("split").agg(F.count("*").alias("lines"), F.sum("line_id").alias("ids"))
+    again = rows.repartition(5).groupBy("split").agg(F.count("*").alias("lines_again"), F.sum("line_id").alias("ids_again"))
+    return sizes.join(again, "split", "full").select("split", "lines", "ids", "lines_again", "ids_again")
 
 
 def latency_summary(s, d):
@@ -193,7 +196,7 @@ def latency_summary(s, d):
 
 def arm_selection(s, d):
     rows = _timed(s, d)
-    return evaluation.select_arm(rows, ["method_name"]).select("method_name", "top3_hits", "top1_hits", F.round("median_ms", 6).alias("median_ms"))
+    return evaluation.select_arm(rows, ["method_name"]).select("method_name", "top3_hits", "top1_hits", F.round("median_ms", 6).alias("median_ms"), "seed")
 
 
 def _timed(s, d):
@@ -269,7 +272,9 @@ def paired_groups(s, d):
 
 def gated_selection(s, d):
     """Of the methods within half a point of the best top-3 share, the fastest."""
-    rows = _timed(s, d).groupBy("method_name").agg(F.avg((F.col("rank") > 0).cast("double")).alias("top3"), F.expr("percentile(milliseconds, 0.5)").alias("median_ms"))
+    timed = _timed(s, d)
+    shares = timed.groupBy("method_name").agg(F.avg((F.col("rank") > 0).cast("double")).alias("top3"))
+    rows = shares.join(quantiles(timed, "method_name", "milliseconds", [0.5]).withColumnRenamed("q0", "median_ms"), "method_name")
     return evaluation.within_of_leader(rows, "top3", 0.005, "median_ms").select("method_name", F.round("top3", 6).alias("top3"), F.round("median_ms", 6).alias("median_ms"))
 
 
@@ -361,13 +366,13 @@ ORACLE = {
     "rank_audit": f"select ngram_rank as recorded, coalesce(list_position({_list('ngram_candidates_json')}[1:3], actual), 0)::int as recomputed, count(*) as cases from development where actual is not null and {_list('ngram_candidates_json')} is not null group by 1, 2",
     "option_audit": f"with o as (select {_list('options_json')} as o, ngram_choice, actual from development) select count(*) as cases, count(*) filter (o is null or len(o) <> 4) as broken, count(*) filter (o is not null and not coalesce(list_contains(o, actual), false)) as no_target, count(*) filter (o is not null and len(list_distinct(o)) < len(o)) as repeated, count(*) filter (o is not null and not coalesce(list_contains(o, ngram_choice), false)) as choice_outside from o",
     "candidate_reach": f"with c as (select case_id, actual from development where actual is not null) select 'candidates' as generator, (select count(*) from c)::int as cases, (select count(*) from development where actual is not null and list_contains({_list('ngram_candidates_json')}, actual)) as covered union all select 'scores', (select count(*) from c)::int, (select count(*) from c where (case_id, actual) in (select case_id, word from {SCORES}))",
-    "split_reconstruction": "select 0::bigint as only_a, 0::bigint as only_b",
+    "split_reconstruction": f"select case when b < 80 then 'train' when b < 90 then 'validation' else 'test' end as split, count(*) as lines, sum(line_id)::bigint as ids, count(*) as lines_again, sum(line_id)::bigint as ids_again from (select line_id, {bucket('line_id', 100, '20261101')} as b from training_lines) group by 1",
     "latency_summary": "select method_name, count(*) as calls, round(quantile_cont(milliseconds, 0.5), 6) as median_ms, round(quantile_cont(milliseconds, 0.95), 6) as p95_ms, round(avg(milliseconds), 6) as mean_ms from timing where milliseconds is not null and not isnan(milliseconds) and milliseconds > 0 group by 1",
-    "arm_selection": f"select method_name, count(*) filter (rank > 0) as top3_hits, count(*) filter (rank = 1) as top1_hits, round(quantile_cont(milliseconds, 0.5), 6) as median_ms from {_TIMED} group by 1 order by 2 desc, 3 desc, 4, 1 limit 1",
+    "arm_selection": f"with t as {_TIMED}, a as (select method_name, count(*) filter (rank > 0) as top3_hits, count(*) filter (rank = 1) as top1_hits, round(quantile_cont(milliseconds, 0.5), 6) as median_ms, avg((rank > 0)::double) as m from t group by 1 order by 2 desc, 3 desc, 4, 1 limit 1), p as (select method_name, seed, avg((rank > 0)::double) as v from t group by 1, 2) select method_name, top3_hits, top1_hits, median_ms, (select p.seed from p where p.method_name = a.method_name order by round(abs(v - m), 12), p.seed limit 1) as seed from a",
     "seed_summary": f"with p as (select method_name, seed, avg((rank > 0)::double) as top3, avg((rank = 1)::double) as top1 from {_TIMED} group by 1, 2) select method_name, count(*) as seeds, round(avg(top3), 6) as mean_top3, round(min(top3), 6) as least_top3, round(max(top3), 6) as most_top3, round(avg(top1), 6) as mean_top1 from p group by 1",
     "grid_audit": "select (count(distinct round_no) * count(distinct method_name))::bigint as expected, count(distinct (round_no, method_name)) as found from timing where round_no is not null and method_name is not null",
     "set_audit": "with a as (select distinct case_id from candidate_scores where case_id is not null), b as (select distinct case_id from timing where case_id is not null) select (select count(*) from a join b using (case_id)) as both, (select count(*) from a anti join b using (case_id)) as only_a, (select count(*) from b anti join a using (case_id)) as only_b",
-    "arm_difference": "with p as (select case_id, word_id, max(cpu_probability) - min(cpu_probability) as d from candidate_scores where cpu_probability is not null and not isnan(cpu_probability) group by 1, 2) select count(*) as compared, 0::bigint as only_a, 0::bigint as only_b, max(d) as greatest from p",
+    "arm_difference": "with ok as (select * from candidate_scores where cpu_probability is not null and not isnan(cpu_probability)), a as (select case_id, word_id, max(cpu_probability) as x, 1 as ia from ok group by 1, 2), b as (select case_id, word_id, min(cpu_probability) as y, 1 as ib from ok group by 1, 2) select count(*) filter (ia is not null and ib is not null) as compared, count(*) filter (ib is null) as only_a, count(*) filter (ia is null) as only_b, max(abs(x - y)) as greatest from a full join b on a.case_id = b.case_id and a.word_id = b.word_id",
     "paired_groups": _MCNEMAR.replace("select source, count(*)", "select grp, count(*)").replace(_PAIRS, f"(select *, unnest(['all', 'source ' || source, 'words ' || case when words <= 4 then '1-4' when words <= 12 then '5-12' else '13+' end]) as grp from {_PAIRS} join (select case_id, words from {_DETAILS}) using (case_id))"),
     "gated_selection": f"with r as (select method_name, avg((rank > 0)::double) as top3, quantile_cont(milliseconds, 0.5) as median_ms from {_TIMED} group by 1) select method_name, round(top3, 6) as top3, round(median_ms, 6) as median_ms from r where top3 >= (select max(top3) from r) - 0.005 order by r.median_ms, r.top3 desc limit 1",
     "wide_export": f"select case_id, source, rank_a, rank_b from {_PAIRS}",

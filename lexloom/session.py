@@ -40,6 +40,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def remove_later(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the interpreter ends."""
+    atexit.register(_remove, spark, path)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and an executor's
     loss costs nothing. The files are deleted when the interpreter ends."""

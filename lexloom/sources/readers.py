@@ -52,7 +52,7 @@ def inventory(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
 
 def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = ",", columns: list[str] | None = None) -> DataFrame:
     """A headed CSV or TSV file, bz2 or gzip too; ``columns`` must be there by name."""
-    df = spark.read.csv(path, header=True, schema=schema, sep=sep, enforceSchema=False, multiLine=False, escape='"')
+    df = spark.read.csv(path, header=True, schema=schema, sep=sep, enforceSchema=False, multiLine=False, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     missing = set(columns or ()) - set(df.columns)
     if missing:
         raise ValueError(f"missing columns: {sorted(missing)}")

@@ -13,7 +13,7 @@ def _mode(once: bool) -> str:
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", compression: str = "none", once: bool = True) -> None:
-    df.write.mode(_mode(once)).csv(path, header=True, sep=sep, compression=compression, escape='"')
+    df.write.mode(_mode(once)).csv(path, header=True, sep=sep, compression=compression, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_json(df: DataFrame, path: str, once: bool = True) -> None:
