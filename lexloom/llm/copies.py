@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.text import letters
 from lexloom.operators.ordered import adjacent_runs
+from lexloom.session import cut
 
 #: Names that open a field of a record.
 FIELD_NAMES = ("topic", "mood", "place", "body")
@@ -46,7 +47,8 @@ def copies(df: DataFrame, id: str = "case_id", text: str = "prefix") -> DataFram
     Canonical keys are range-partitioned and sorted, neighbours are compared in full. Repeated rows with one id stay
     rows; null ids are left out; other columns of ``df`` are ignored.
     """
-    keyed = df.select(F.col(id).alias("id"), content_key(F.col(text)).alias("key"))
+    # written, so that neither the sample of the range partitioning nor the shuffle computes the keys again
+    keyed = cut(df.select(F.col(id).alias("id"), content_key(F.col(text)).alias("key")).where("key is not null"), "keys")
     return adjacent_runs(keyed, "key", "id")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lexloom.llm import abuse, copies, encoding, leaks, mixture, overlap, sentences
 from lexloom.session import table
 
@@ -79,7 +81,17 @@ def p8_found(spark, d):
     return sentences.sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_links, p2_found, p2_collapsed, p3_found, p3_links, p4_found, p4_restored, p4_evidence, p5_found, p5_scores, p5_rates, p6_found, p6_report, p7_mixture, p7_shares, p8_found)}
+def p8_cover(spark, d):
+    """(doc_id, characters, split): the non-blank characters of each text that are in its sentences."""
+    docs = table(spark, d, "documents").where("doc_id is not null and text is not null").select("doc_id", "text")
+    spans = sentences.sentences(docs).join(docs, "doc_id")
+    own = F.regexp_replace(F.substring("text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char")), _BLANKS, "")
+    return spans.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum(F.length(own)).alias("characters")).where("characters > 0").select("doc_id", "characters", (F.col("sentences") > 0).alias("split"))
+
+
+_BLANKS = "[\\s\\x1c-\\x1f\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_links, p2_found, p2_collapsed, p3_found, p3_links, p4_found, p4_restored, p4_evidence, p5_found, p5_scores, p5_rates, p6_found, p6_report, p7_mixture, p7_shares, p8_found, p8_cover)}
 
 _WORDS = "regexp_extract_all(lower(translate({0}, '''’', '')), '[\\p{{L}}\\p{{N}}]+')"
 
@@ -147,4 +159,6 @@ select distinct d.id as doc_id, i.id as item_id from d join i using (run)
 """
 _P6_REPORT = f"with n as (select item_id, count(*) as n from ({_P6}) group by item_id) select item_id, reserve_role, coalesce(n, 0) as documents from holdout_items left join n using (item_id)"
 
-ORACLE = {"p1_found": _P1, "p1_report": _P1_REPORT, "p1_links": _P1_LINKS, "p2_found": _P2, "p2_collapsed": _P2_COLLAPSED, "p3_found": _P3, "p3_links": _P3_LINKS, "p6_found": _P6, "p6_report": _P6_REPORT}
+_P8_COVER = f"select doc_id, length(regexp_replace(text, '{_BLANKS}', '', 'g')) as characters, true as split from documents where text is not null and length(regexp_replace(text, '{_BLANKS}', '', 'g')) > 0"
+
+ORACLE = {"p1_found": _P1, "p1_report": _P1_REPORT, "p1_links": _P1_LINKS, "p2_found": _P2, "p2_collapsed": _P2_COLLAPSED, "p3_found": _P3, "p3_links": _P3_LINKS, "p6_found": _P6, "p6_report": _P6_REPORT, "p8_cover": _P8_COVER}
