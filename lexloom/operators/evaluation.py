@@ -123,12 +123,12 @@ def select_arm(details: DataFrame, arms: list[str]) -> DataFrame:
     """The arm with the most top-3 hits over all seeds, and its representative seed: the one whose top-3 share is nearest
     to the arm's mean. Ties by top-1 hits, median latency, then the arm's own order; of seeds the smallest."""
     arm = F.to_json(F.struct(*arms))
-    rows = details.withColumn("arm", arm)
-    hits = rows.groupBy("arm", *arms).agg(F.count_if(F.col("rank") > 0).alias("top3_hits"), F.count_if(F.col("rank") == 1).alias("top1_hits"), F.avg((F.col("rank") > 0).cast("double")).alias("mean"))
-    seeds = rows.groupBy("arm", "seed").agg(F.avg((F.col("rank") > 0).cast("double")).alias("share")).join(hits.select("arm", "mean"), "arm")
-    nearest = seeds.groupBy("arm").agg(F.min_by("seed", F.struct(F.round(F.abs(F.col("share") - F.col("mean")), 12), "seed")).alias("seed"))
-    medians = quantiles(rows, "arm", "milliseconds", [0.5])
-    return hits.join(medians, "arm").join(nearest, "arm").orderBy(F.desc("top3_hits"), F.desc("top1_hits"), "q0", *arms).limit(1).select(*arms, "top3_hits", "top1_hits", F.col("q0").alias("median_ms"), "seed")
+    rows = details.withColumn("_arm", arm)
+    hits = rows.groupBy("_arm", *arms).agg(F.count_if(F.col("rank") > 0).alias("top3_hits"), F.count_if(F.col("rank") == 1).alias("top1_hits"), F.avg((F.col("rank") > 0).cast("double")).alias("mean"))
+    seeds = rows.groupBy("_arm", "seed").agg(F.avg((F.col("rank") > 0).cast("double")).alias("share")).join(hits.select("_arm", "mean"), "_arm")
+    nearest = seeds.groupBy("_arm").agg(F.min_by("seed", F.struct(F.round(F.abs(F.col("share") - F.col("mean")), 12), "seed")).alias("seed"))
+    medians = quantiles(rows, "_arm", "milliseconds", [0.5])
+    return hits.join(medians, "_arm").join(nearest, "_arm").orderBy(F.desc("top3_hits"), F.desc("top1_hits"), "q0", *arms).limit(1).select(*arms, "top3_hits", "top1_hits", F.col("q0").alias("median_ms"), "seed")
 
 
 def within_of_leader(rows: DataFrame, score: str, margin: float, size: str) -> DataFrame:

@@ -19,13 +19,15 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for written intermediates.
+    """The folder for written intermediates: ``spark.checkpoint.dir``.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (tests, notebooks) a local
-    temporary folder is chosen and remembered in the session.
+    Where that is unset, a local master gets a temporary folder, remembered in the session; a cluster has none that all
+    of its machines see, so nothing is run there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lexloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

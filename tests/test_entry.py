@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lexloom.queries import more
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -13,7 +14,7 @@ def test_contract(spark):
     assert df.columns == ["case_id", "rank", "word", "p"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", ["corpus_scan", "split_counts", "kn_top3", "compact_top3", "eval_rollup", "mcnemar"])
+@pytest.mark.parametrize("name", ["corpus_scan", "split_counts", "kn_top3", "compact_top3", "eval_rollup", "mcnemar", "exact_continuation", "constant_baseline", "latency_summary", "arm_selection", "vocab_ids", "choice_distractors", "split_reconstruction", "arm_difference", *sorted(more.ORACLE)])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("development", "training_lines", "reserved_hashes", "vocabulary", "candidate_scores", "blocked_terms", "timing", "events", "documents"):

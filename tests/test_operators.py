@@ -1,13 +1,16 @@
 import random
 from collections import Counter
+from fractions import Fraction
+from math import comb
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions.stats import mcnemar, wilson
 from lexloom.functions.text import normalize_ascii, tokens_model, tokens_unicode
 from lexloom.operators import audit, calibration, corpus, evaluation, lines, ngrams, trie
-from lexloom.operators.ordered import adjacent_runs, running_sums
+from lexloom.operators.ordered import adjacent_runs, quantiles, running_sums
 
 
 def corpus_of(spark, texts, source="blogs"):
@@ -255,3 +258,38 @@ def test_trie_beam_of_every_case(spark, tmp_path):
             want[c, w] = round(sum(math.log(m / b) for m, b in zip(mass[1:], below[:-1], strict=True)), 6)
     got = {(r.case_id, r.word): r.score for r in trie_beam(spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want)
+
+
+def test_quantiles_without_buffers(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([0.1, 2.5, 7.25, -3.0, rng.random()])) for _ in range(500)] + [("one", 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.q0, r.q1, r.q2) for r in quantiles(df, "g", "v", [0.0, 0.5, 0.95]).collect()}
+    for g in ("a", "b", None, "one"):
+        own = [v for k, v in rows if k == g and v is not None]
+        assert np.allclose(got[g], np.quantile(own, [0, 0.5, 0.95]))
+    assert "none" not in got
+
+
+def test_mcnemar_of_large_counts(spark):
+    pairs = [(0, 0), (1, 0), (3, 4), (10, 30), (200, 260), (1000, 1000), (0, 400)]
+    big = [(10**9, 10**9 + 100_000), (10**9, 10**9)]
+    got = [r[0] for r in spark.createDataFrame(pairs + big, "a bigint, b bigint").select("a", "b", mcnemar(F.col("a"), F.col("b")).alias("p")).select("p").collect()]
+    for (a, b), p in zip(pairs, got, strict=False):
+        want = min(1.0, float(2 * sum(Fraction(comb(a + b, i), 2 ** (a + b)) for i in range(min(a, b) + 1)))) if a + b else 1.0
+        assert abs(p - want) <= 1e-9 * max(want, 1e-300) or abs(p - want) < 1e-12
+    assert 0.02 < got[-2] < 0.03 and got[-1] == 1.0
+
+
+def test_words_with_escapes(spark):
+    df = spark.createDataFrame([("blogs", "a \\E b"), ("blogs", "a.c"), ("blogs", "abc")], "source string, text string")
+    assert df.where(lines.has_word(F.col("text"), "a.c")).count() == 1
+    assert df.where(F.col("text").rlike(lines.word_pattern("\\E"))).count() == 1
+
+
+def test_capped_draws(spark):
+    df = spark.createDataFrame([(i, "a" if i % 3 else None) for i in range(6000)], "id bigint, source string")
+    got = corpus.capped(df, "source", "id", 0.5, 700, 3).collect()
+    a, none = [r.id for r in got if r.source], [r.id for r in got if r.source is None]
+    assert len(a) == len(none) == 700 and max(a) < 2600
+    assert len(corpus.capped(df, "source", "id", 0.1, 10**6, 3).collect()) in range(500, 700)
