@@ -167,6 +167,12 @@ def _candidates(learned: list[tuple[str, str]], alphabet: set[str]):
     return run
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast: Spark takes the size of compressed files for that of their rows,
+    and the driver would hold many times as much. For tables that grow with the vocabulary."""
+    return df.hint("merge")
+
+
 def _form(token: Column) -> Column:
     """A token's frame: its ASCII words and numbers reduced to marks, so that quotes, dashes and signs can be counted
     whatever word they stand at. What follows an apostrophe is kept: only some endings do."""
@@ -203,7 +209,7 @@ def garbled_tokens(df: DataFrame, id: str = "case_id", text: str = "prefix") ->
     slots = cut(_slots(counted), "slots")
     runs = slots.groupBy("twin", "slot", "run").agg(F.sum("n").alias("n"))
     usual = cut(runs.groupBy("twin", "slot").agg(F.max_by(F.struct("run", "n"), F.struct("n", "run")).alias("u")).select("twin", "slot", F.col("u.run").alias("clean"), F.col("u.n").alias("times")), "usual")
-    pairs = runs.join(usual, ["twin", "slot"]).where("run <> clean").groupBy("clean", "run").agg(F.sum("n").alias("n"))
+    pairs = runs.join(_merged(usual), ["twin", "slot"]).where("run <> clean").groupBy("clean", "run").agg(F.sum("n").alias("n"))
     known = counted.select(F.explode(F.array_distinct(F.split("token", ""))).alias("c"), "n").where(r"c rlike '[^\\x00-\\x7F]'").groupBy("c").agg(F.sum("n").alias("n")).where(f"n >= {SUPPORT}")
     # both are small whatever the data: pairs of encodings, and code points
     found = pairs.mapInArrow(_explained, "written string, read string, garbled string, n bigint").groupBy("written", "read").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where(f"n >= {SUPPORT} and kinds >= 2").orderBy(F.desc("n"), "written", "read").collect()
@@ -218,19 +224,19 @@ def garbled_tokens(df: DataFrame, id: str = "case_id", text: str = "prefix") ->
     forms = cut(counted.groupBy(_form(F.col("token")).alias("f")).agg(F.sum("n").alias("n")), "forms").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))))
     rest = proposed.where("not sure").select("token", "restored", "how", F.lower("token").alias("w0"), F.lower("restored").alias("w1"), _form(F.col("token")).alias("f0"), _form(F.col("restored")).alias("f1"), F.pmod(F.xxhash64("token"), F.lit(_SALT)).cast("int").alias("salt"))
     for side in ("0", "1"):
-        rest = rest.join(words.select(F.col("w").alias(f"w{side}"), F.col("n").alias(f"nw{side}")), f"w{side}", "left").join(forms.select("salt", F.col("f").alias(f"f{side}"), F.col("n").alias(f"nf{side}")), [f"f{side}", "salt"], "left")
+        rest = rest.join(_merged(words.select(F.col("w").alias(f"w{side}"), F.col("n").alias(f"nw{side}"))), f"w{side}", "left").join(_merged(forms.select("salt", F.col("f").alias(f"f{side}"), F.col("n").alias(f"nf{side}"))), [f"f{side}", "salt"], "left")
     rest = cut(rest.fillna(0, ["nw0", "nw1", "nf0", "nf1"]), "rest")
     # what is usual in its own slot is right as it stands
-    settled = slots.join(usual, ["twin", "slot"]).groupBy("token").agg(F.min(F.expr(f"run = clean and times >= {SUPPORT}")).alias("settled")).where("settled").select("token")
-    rest = rest.join(settled, "token", "left_anti")
+    settled = slots.join(_merged(usual), ["twin", "slot"]).groupBy("token").agg(F.min(F.expr(f"run = clean and times >= {SUPPORT}")).alias("settled")).where("settled").select("token")
+    rest = rest.join(_merged(settled), "token", "left_anti")
     # a frame says something only if the characters in question are not inside a word
     framed = F.col("f1").rlike("^[^\\p{L}\\p{M}]*(?:w[^\\p{L}\\p{M}]*)*$") | F.col("f1").rlike("^[^\\p{L}\\p{M}]*(?:w[^\\p{L}\\p{M}]*)*’[a-z]+[^\\p{L}\\p{M}]*$") | F.col("f1").rlike("^[^\\p{L}]*0[^\\p{L}]*$")
     framed &= F.col("nf1") >= SUPPORT
     rest = rest.withColumn("inner", F.when(framed & F.col("token").rlike(r"[A-Za-z][^\x00-\x7F]+[A-Za-z]"), F.split(F.regexp_replace(F.lower("restored"), "’[a-z]{1,2}(?![a-z])", ""), "[^a-z]+")))
     parts = rest.select("token", "restored", F.explode("inner").alias("w")).where("w <> ''")
     spelled = rows_of_words(df, text).groupBy("w").agg(F.count("*").alias("n")).where(f"n >= {SUPPORT}")
-    strange = parts.join(spelled, "w", "left_anti").select("token", "restored").distinct()
-    rest = rest.join(strange.withColumn("strange", F.lit(True)), ["token", "restored"], "left")
+    strange = parts.join(_merged(spelled), "w", "left_anti").select("token", "restored").distinct()
+    rest = rest.join(_merged(strange.withColumn("strange", F.lit(True))), ["token", "restored"], "left")
     score = F.greatest(F.when(F.col("nw1") >= SUPPORT, F.col("nw1") / F.greatest("nw0", F.lit(1))), F.when(framed & F.col("strange").isNull(), F.col("nf1") / F.greatest("nf0", F.lit(1))))
     scored = cut(rest.withColumn("score", score).where(F.col("score") >= RATIO), "scored")
     # a transformation that no twin showed counts once it gave SUPPORT known words
@@ -238,10 +244,10 @@ def garbled_tokens(df: DataFrame, id: str = "case_id", text: str = "prefix") ->
     shown = [f"{w} {r}" for w, r in learned]
     allowed = sorted({r.how for r in hows} | set(shown))
     best = scored.where(F.col("how").isin(allowed)).groupBy("token").agg(F.max_by(F.struct("restored", "how"), F.struct("score", "restored")).alias("b")).select("token", "b.restored", F.when(F.col("b.how").isin(shown), "learned").otherwise("scripts").alias("kind"))
-    bad = cut(best.unionAll(sure.join(best, "token", "left_anti")), "bad")
+    bad = cut(best.unionAll(sure.join(_merged(best), "token", "left_anti")), "bad")
     # a twin is the restored word itself among the tokens, and usual in its slots
-    twins = bad.where("kind in ('learned', 'prior')").join(counted.where(f"n >= {SUPPORT}").select(F.col("token").alias("restored")), "restored", "left_semi").select("token").distinct().withColumn("twin", F.lit(True))
-    return tokens, bad.join(twins, "token", "left").select("token", "restored", F.when(F.col("twin"), "twin").otherwise(F.col("kind")).alias("kind"))
+    twins = bad.where("kind in ('learned', 'prior')").join(_merged(counted.where(f"n >= {SUPPORT}").select(F.col("token").alias("restored"))), "restored", "left_semi").select("token").distinct().withColumn("twin", F.lit(True))
+    return tokens, bad.join(_merged(twins), "token", "left").select("token", "restored", F.when(F.col("twin"), "twin").otherwise(F.col("kind")).alias("kind"))
 
 
 def rows_of_words(df: DataFrame, text: str) -> DataFrame:
@@ -252,7 +258,7 @@ def rows_of_words(df: DataFrame, text: str) -> DataFrame:
 def garbled(df: DataFrame, id: str = "case_id", text: str = "prefix") -> DataFrame:
     """(case_id): rows with a garbled sequence. Null and ASCII-only texts are no cases."""
     tokens, bad = garbled_tokens(df, id, text)
-    return tokens.join(bad, "token", "left_semi").select(F.col("id").alias("case_id")).distinct()
+    return tokens.join(_merged(bad), "token", "left_semi").select(F.col("id").alias("case_id")).distinct()
 
 
 def restored(df: DataFrame, id: str = "case_id", text: str = "prefix") -> DataFrame:
@@ -262,11 +268,11 @@ def restored(df: DataFrame, id: str = "case_id", text: str = "prefix") -> DataFr
     earlier outcome is touched.
     """
     tokens, bad = garbled_tokens(df, id, text)
-    hits = tokens.join(bad, "token")
+    hits = tokens.join(_merged(bad), "token")
     fixes = hits.groupBy("id").agg(F.collect_set(F.when(F.expr("token <> restored"), F.struct("token", "restored"))).alias("fixes"))
     rows = df.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7F]"))
     chunks = F.regexp_extract_all("text", F.lit(f"[{_ASCII_BLANK}]+|[^{_ASCII_BLANK}]+"), F.lit(0))
-    out = rows.join(fixes, "id").withColumn("fixes", F.map_from_entries("fixes")).withColumn("chunks", chunks)
+    out = rows.join(_merged(fixes), "id").withColumn("fixes", F.map_from_entries("fixes")).withColumn("chunks", chunks)
 
     def fixed(c: Column) -> Column:
         meant = F.element_at("fixes", F.regexp_replace(c, f"^{_OUTER}|{_OUTER}$", ""))
@@ -281,5 +287,5 @@ def evidence(df: DataFrame, id: str = "case_id", text: str = "prefix") -> DataFr
     'mark', 'prior' in this order."""
     tokens, bad = garbled_tokens(df, id, text)
     order = F.array(*[F.lit(k) for k in ("twin", "learned", "scripts", "mark", "prior")])
-    hits = tokens.join(bad, "token").groupBy("id").agg(F.min(F.array_position(order, F.col("kind"))).alias("at"))
+    hits = tokens.join(_merged(bad), "token").groupBy("id").agg(F.min(F.array_position(order, F.col("kind"))).alias("at"))
     return hits.groupBy(F.element_at(order, F.col("at").cast("int")).alias("kind")).agg(F.count("*").alias("cases"))

@@ -82,6 +82,25 @@ def test_no_garbled_rows(spark):
     assert encoding.restored(dev(spark, [(1, "a")]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("query", [encoding.garbled, encoding.restored, encoding.evidence])
+def test_garbled_broadcasts_nothing(spark, garbled_rows, query):
+    """No table that grows with the vocabulary is sent to the driver, however small its compressed file: frames in 16
+    copies were."""
+    context = spark._jsparkSession.sparkContext()
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def plans():
+        context.listenerBus().waitUntilEmpty(30_000)
+        runs = store.executionsList()
+        return {(e := runs.apply(i)).executionId(): e.physicalPlanDescription() for i in range(runs.size())}
+
+    before = plans()
+    query(dev(spark, garbled_rows[0])).collect()
+    new = [text for k, text in plans().items() if k not in before]
+    assert sum("SortMergeJoin" in text for text in new) >= 4
+    assert not [text for text in new if "Broadcast" in text]
+
+
 # --- abuse ---------------------------------------------------------------------------------------
 
 
